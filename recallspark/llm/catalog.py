@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recallspark.llm import neighbours_queries
+from recallspark.llm import neighbours_queries, packing_queries, splitting_queries
 
-MODULES = [neighbours_queries]
+MODULES = [neighbours_queries, splitting_queries, packing_queries]
 
 
 def queries() -> dict:
