@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recallspark.llm import neighbours_queries, packing_queries, pairs_queries, splitting_queries
+from recallspark.llm import levels_queries, neighbours_queries, packing_queries, pairs_queries, splitting_queries
 
-MODULES = [neighbours_queries, splitting_queries, packing_queries, pairs_queries]
+MODULES = [neighbours_queries, splitting_queries, packing_queries, pairs_queries, levels_queries]
 
 
 def queries() -> dict:
