@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recallspark.operators import history_queries
+from recallspark.operators import history_queries, search_queries
 
-MODULES = [history_queries]
+MODULES = [history_queries, search_queries]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p3_found"](spark, sf_dir)
+    return queries()["hybrid_convex"](spark, sf_dir)
 
 
 def queries() -> dict:
