@@ -297,8 +297,10 @@ def nearest_neighbours(collections: list[DataFrame], cfg: Config = Config()) ->
     spark = collections[0].sparkSession
     frames = [df.select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("embedding")) for df in collections]
     print_of = F.xxhash64("embedding")
+    low, high = F.array_min("embedding"), F.array_max("embedding")
+    fine = (F.size("embedding") == cfg.dim) & (low > float("-inf")) & (high < float("inf")) & ((low != 0) | (high != 0)) & F.col("id").isNotNull()
     counted = [
-        df.where((F.size("embedding") == cfg.dim) & F.col("id").isNotNull()).select(F.lit(k).alias("kind"), print_of.alias("print"))
+        df.where(fine).select(F.lit(k).alias("kind"), print_of.alias("print"))
         for k, df in enumerate(frames)
     ]
     prints = counted[0]
