@@ -117,7 +117,7 @@ def abstained(text: Column) -> Column:
 def normalise_answer(text: Column) -> Column:
     """Lower case, ASCII punctuation and English articles dropped, space squeezed."""
     bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[!-/:-@\[-`{-~]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(a|an|the)\b", " "), r"[\s\u00a0\u2000-\u200a\u202f\u3000]+", " "))
 
 
 def answer_tokens(text: Column) -> Column:
