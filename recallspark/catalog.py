@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recallspark.operators import evaluation_queries, history_queries, memory_queries, ranking_queries, search_queries
+from recallspark.operators import engine_queries, evaluation_queries, history_queries, memory_queries, ranking_queries, search_queries
 
-MODULES = [history_queries, search_queries, ranking_queries, evaluation_queries, memory_queries]
+MODULES = [history_queries, search_queries, ranking_queries, evaluation_queries, memory_queries, engine_queries]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
