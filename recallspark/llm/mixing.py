@@ -153,7 +153,9 @@ def _frame(rows: list) -> pd.DataFrame:
 
 def mix(docs: DataFrame, targets: DataFrame, least_total: float = 0.5, total: float | None = None, seed: int = 11, fan_in: int = 256, path: str = VOCABULARY) -> DataFrame:
     """The use count of each record (columns doc_id, text, source): doc_id, source, tokens, uses."""
-    aims = {r.source: (r.target_share or 0.0, r.max_repeats or 0) for r in targets.where(F.col("source").isNotNull()).limit(10_000).collect()}
+    if targets.count() > 10_000:
+        raise ValueError("targets are a short list of sources")
+    aims = {r.source: (r.target_share or 0.0, r.max_repeats or 0) for r in targets.where(F.col("source").isNotNull()).select("source", "target_share", "max_repeats").collect()}
     named = docs.select("doc_id", "text", canonical_source(F.col("source")).alias("source"))
     sized = stash(with_token_counts(named, "text", ["doc_id", "source"], path), "sized")
     have = {r.source: r.t for r in sized.where(F.col("source").isin(list(aims))).groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
@@ -214,7 +216,7 @@ def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     used = mixed.groupBy("source").agg(
         F.sum("tokens").alias("tokens_have"), F.sum(F.col("tokens") * F.col("uses")).alias("tokens_used"), F.max("uses").alias("most_uses"), F.count("*").alias("records")
     )
-    rows = targets.join(used, "source", "left").na.fill(0, ["tokens_have", "tokens_used", "most_uses", "records"])
+    rows = targets.select("source", "target_share", "max_repeats").join(used, "source", "left").na.fill(0, ["tokens_have", "tokens_used", "most_uses", "records"])
     whole = rows.agg(F.sum("tokens_used").alias("whole"))
     return rows.crossJoin(F.broadcast(whole)).select(  # one row
         "source", "target_share", "max_repeats", "records", "tokens_have", "tokens_used", "most_uses",
