@@ -12,7 +12,7 @@ from recallspark.session import stash, table
 
 def _cut_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = stash(sides_of(table(spark, sf_dir, "per_question")), "sides")
-    cut = find_cut(sides)
+    cut = stash(find_cut(sides), "cut")
     other = defects_of(sides, cut).where(F.array_contains("defects", "language") | F.array_contains("defects", "refusal")).select("pq_id", "side")
     cut = cut.join(other.withColumn("other", F.lit(True)), ["pq_id", "side"], "left").withColumn("cut", F.col("cut") & F.col("other").isNull())
     return cut.where(F.col("side") == "prediction")
