@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ CATEGORIES = {1: "multi_hop", 2: "temporal", 3: "open_domain", 4: "single_hop",
 ATTRIBUTION = r"(?m)^\s*(?:DATE:[^|\n]*\|\s*)?(?:[A-Z][\w'-]*(?:\s+[A-Z][\w'-]*)?\s+says:\s*)"
 
 
+def bound(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """``f`` of both columns, each evaluated once a row, also where ``f`` uses them in lambdas."""
+    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda s: f(s["a"], s["b"]))[0]
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of word characters, duplicates kept; NULL gives none."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))
@@ -57,15 +64,15 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def fuzzy_overlap(query: Column, doc: Column) -> Column:
     """Share of distinct query tokens whose stem the document has, or has within one edit if short."""
-    stems = F.array_distinct(F.transform(doc, stem))
-    short = F.filter(stems, lambda s: F.length(s) <= 6)
-    wanted = F.array_distinct(query)
 
-    def hit(t: Column) -> Column:
-        s = stem(t)
-        return F.array_contains(stems, s) | ((F.length(s) <= 6) & F.exists(short, lambda d: F.levenshtein(s, d) <= 1))
+    def share(wanted: Column, stems: Column) -> Column:
+        def hit(s: Column) -> Column:
+            near = F.exists(stems, lambda d: (F.length(d) <= 6) & (F.levenshtein(s, d) <= 1))
+            return F.array_contains(stems, s) | ((F.length(s) <= 6) & near)
+
+        return F.when(F.size(wanted) > 0, F.size(F.filter(wanted, hit)) / F.size(wanted)).otherwise(F.lit(0.0))
 
-    return F.when(F.size(wanted) > 0, F.size(F.filter(wanted, hit)) / F.size(wanted)).otherwise(F.lit(0.0))
+    return bound(F.transform(F.array_distinct(query), stem), F.array_distinct(F.transform(doc, stem)), share)
 
 
 def speakers_of(text: Column) -> Column:
@@ -137,21 +144,25 @@ def exact_match(prediction: Column, gold: Column) -> Column:
 
 
 def token_f1(prediction: Column, gold: Column) -> Column:
-    a, b = answer_tokens(prediction), answer_tokens(gold)
-    n = overlap_count(a, b)
-    return (
-        F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0)
-        .when((F.size(a) == 0) | (F.size(b) == 0) | (n == 0), 0.0)
-        .otherwise(2.0 * n / (F.size(a) + F.size(b)))
-    )
+    def score(a: Column, b: Column) -> Column:
+        n = overlap_count(a, b)
+        return (
+            F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0)
+            .when((F.size(a) == 0) | (F.size(b) == 0) | (n == 0), 0.0)
+            .otherwise(2.0 * n / (F.size(a) + F.size(b)))
+        )
+
+    return bound(answer_tokens(prediction), answer_tokens(gold), score)
 
 
 def bleu1(prediction: Column, gold: Column) -> Column:
-    a, b = answer_tokens(prediction), answer_tokens(gold)
-    n = overlap_count(a, b)
-    precision = F.when(n == 0, 0.1 / F.size(a)).otherwise(n / F.size(a))
-    brevity = F.when(F.size(a) >= F.size(b), 1.0).otherwise(F.exp(1 - F.size(b) / F.size(a)))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(brevity * precision)
+    def score(a: Column, b: Column) -> Column:
+        n = overlap_count(a, b)
+        precision = F.when(n == 0, 0.1 / F.size(a)).otherwise(n / F.size(a))
+        brevity = F.when(F.size(a) >= F.size(b), 1.0).otherwise(F.exp(1 - F.size(b) / F.size(a)))
+        return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(brevity * precision)
+
+    return bound(answer_tokens(prediction), answer_tokens(gold), score)
 
 
 def category_label(category: Column) -> Column:
