@@ -14,9 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,25 +164,14 @@ def own_defects(question: str | None, text: str | None) -> list[str]:
 
 
 def find_defects(records: DataFrame) -> DataFrame:
-    """pq_id, side, run_name, defects (array, in order) of every side with a defect."""
-    sides = stash(sides_of(records), "sides")
+    """pq_id, side, defects (array, in order) of every side with a defect."""
+    sides = stash(sides_of(records, own_defects), "sides")
     return defects_of(sides, find_cut(sides))
 
 
 def defects_of(sides: DataFrame, cut: DataFrame) -> DataFrame:
-    """As ``find_defects``, from prepared sides and their cuts."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [own_defects(q, c) for q, c in zip(frame["question"], frame["content"])]
-            yield frame[["pq_id", "side"]].assign(found=found)
-
-    texts = sides.groupBy("pq_id").agg(
-        F.max(F.when(F.col("side") == "question", F.col("content"))).alias("question"),
-        *[F.max(F.when(F.col("side") == s, F.struct(F.lit(s).alias("side"), "content", "run_name"))).alias(s) for s in ("gold", "prediction")],
-    )
-    rows = texts.select("pq_id", "question", F.explode(F.array("gold", "prediction")).alias("s")).select("pq_id", "question", "s.side", "s.content")
-    own = rows.mapInPandas(run, "pq_id bigint, side string, found array<string>")
+    """As ``find_defects``, from sides prepared with ``own_defects`` and their cuts."""
+    own = sides.where(F.col("side") != "question").select("pq_id", "side", "found")
     late = cut.where("cut").select("pq_id", "side", F.lit(True).alias("late"))
     both = own.join(late, ["pq_id", "side"], "left")
     every = F.concat("found", F.when(F.col("late") & ~F.array_contains("found", "empty"), F.array(F.lit("truncated"))).otherwise(F.array().cast("array<string>")))

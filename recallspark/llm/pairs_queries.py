@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallspark.llm.endings import find_cut, sides_of
-from recallspark.llm.pairs import defects_of
+from recallspark.llm.pairs import defects_of, find_defects, own_defects
 from recallspark.session import stash, table
 
 
 def _cut_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sides = stash(sides_of(table(spark, sf_dir, "per_question")), "sides")
+    sides = stash(sides_of(table(spark, sf_dir, "per_question"), own_defects), "sides")
     cut = stash(find_cut(sides), "cut")
     other = defects_of(sides, cut).where(F.array_contains("defects", "language") | F.array_contains("defects", "refusal")).select("pq_id", "side")
     cut = cut.join(other.withColumn("other", F.lit(True)), ["pq_id", "side"], "left").withColumn("cut", F.col("cut") & F.col("other").isNull())
@@ -43,8 +43,7 @@ def p4_flag_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sides = stash(sides_of(table(spark, sf_dir, "per_question")), "sides")
-    return defects_of(sides, find_cut(sides))
+    return find_defects(table(spark, sf_dir, "per_question"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
