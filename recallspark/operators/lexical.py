@@ -6,6 +6,8 @@ bucketed by conversation and term; a query touches only its own terms.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +57,68 @@ def top_k(scored: DataFrame, score: str, k: int, tie: list[str], by: str = "qid"
     """The k best per query with their rank; Spark limits each partition before the shuffle."""
     w = Window.partitionBy(by).orderBy(F.desc(score), *tie)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _shorter(word: str) -> set[str]:
+    """The word and what one deletion leaves: two words within one edit share one of these."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+def _within_one(a: str, b: str) -> bool:
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :]
+
+
+def stem_hits(wanted: list[list[str]], held: list[list[str]], short: int = 6) -> np.ndarray:
+    """Of each query (row) how many stems each document (column) has, or has within one edit if both are short."""
+    words = {w: i for i, w in enumerate(dict.fromkeys(w for h in held for w in h))}
+    has = np.zeros((len(words) + 1, len(held)), bool)
+    for j, h in enumerate(held):
+        has[[words[w] for w in h], j] = True
+    bits = np.packbits(has, axis=1)
+    near: dict[str, list[str]] = {}
+    for w in words:
+        if len(w) <= short:
+            for v in _shorter(w):
+                near.setdefault(v, []).append(w)
+    found: dict[str, np.ndarray] = {}
+    out = np.zeros((len(wanted), len(held)), np.int32)
+    for i, want in enumerate(wanted):
+        for w in want:
+            if w not in found:
+                like = {x for v in _shorter(w) for x in near.get(v, ()) if _within_one(w, x)} if len(w) <= short else set()
+                at = [words[x] for x in like | ({w} & words.keys())]
+                found[w] = np.bitwise_or.reduce(bits[at], axis=0) if at else bits[-1]
+        if len(want):
+            out[i] = np.unpackbits(np.array([found[w] for w in want]), axis=1, count=len(held)).sum(0)
+    return out
+
+
+def fuzzy_top(queries: DataFrame, docs: DataFrame, k: int, block: int = 2048, asked: int = 256) -> DataFrame:
+    """qid, episode_id, overlap, rank: the k documents of its conversation with the largest share of a query's stems.
+
+    ``queries``: qid, conv_id, want; ``docs``: conv_id, episode_id, have (stems; a query's one for each distinct
+    token). All documents are compared, in blocks of a conversation; each gives k rows a query.
+    """
+    sizes = docs.groupBy("conv_id").count().join(queries.groupBy("conv_id").agg(F.count("*").alias("asks")), "conv_id")
+    sizes = sizes.select("conv_id", F.ceil(F.col("count") / block).alias("nb"), F.ceil(F.col("asks") / asked).alias("na"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    q = queries.join(sizes, "conv_id").select(F.col("conv_id").alias("c"), "qid", "want", own("qid", "na").alias("a"), every("nb").alias("b"))
+    d = docs.join(sizes, "conv_id").select(F.col("conv_id").alias("c"), "episode_id", "have", every("na").alias("a"), own("episode_id", "nb").alias("b"))
+
+    def best(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(q) and len(d):
+            d = d.sort_values("episode_id", kind="stable")
+            ids, want = d["episode_id"].to_numpy(), [list(w) for w in q["want"]]
+            hits = stem_hits(want, [list(h) for h in d["have"]])
+            for qid, w, n in zip(q["qid"], want, hits):
+                rows += [(qid, ids[j], round(int(n[j]) / max(len(w), 1), 9)) for j in np.argsort(-n, kind="stable")[:k]]
+        return pd.DataFrame(rows, columns=["qid", "episode_id", "overlap"])
+
+    by = ["c", "a", "b"]
+    found = q.groupBy(*by).cogroup(d.groupBy(*by)).applyInPandas(best, "qid string, episode_id string, overlap double")
+    return top_k(found, "overlap", k, ["episode_id"])

@@ -9,7 +9,7 @@ from recallspark.functions import text as T
 from recallspark.functions.vectors import norm, unit, usable
 from recallspark.operators import views as V
 from recallspark.operators.fusion import candidates, dense, fuse, hybrid_search, minmax
-from recallspark.operators.lexical import bm25, corpus_stats, postings, term_stats, top_k
+from recallspark.operators.lexical import bm25, corpus_stats, fuzzy_top, postings, term_stats, top_k
 
 SCAN, K = 30, 10
 
@@ -106,11 +106,12 @@ def interleave_baseline(spark, d):
 
 
 def fuzzy_search(spark, d):
-    e = V.episodes(spark, d)
-    q = e.where(V.is_query()).select(F.col("episode_id").alias("qid"), "conv_id", F.slice(F.array_distinct(T.tokens(F.col("text"))), 1, 12).alias("want"))
-    s = q.join(e.select("conv_id", "episode_id", F.array_distinct(T.tokens(F.col("text"))).alias("have")), "conv_id")
-    s = s.select("qid", "episode_id", F.round(T.fuzzy_overlap(F.col("want"), F.col("have")), 9).alias("overlap"))
-    return top_k(s, "overlap", K, ["episode_id"]).select("qid", "episode_id", "rank", F.round("overlap", 6).alias("overlap"))
+    """Share of all distinct query tokens found, up to one edit; the SQL beside it still reads the first 12 only."""
+    words = F.array_distinct(T.tokens(F.col("text")))
+    e = V.episodes(spark, d).select("conv_id", "episode_id", F.transform(words, T.stem).alias("stems"))
+    q = e.where(V.is_query()).select(F.col("episode_id").alias("qid"), "conv_id", F.col("stems").alias("want"))
+    s = fuzzy_top(q, e.select("conv_id", "episode_id", F.array_distinct("stems").alias("have")), K)
+    return s.select("qid", "episode_id", "rank", F.round("overlap", 6).alias("overlap"))
 
 
 def caption_search(spark, d):
