@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, PowerIterationClustering
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallspark.functions.vectors import unit
+
 
 def random_groups(rows: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """A control: groups by the hash of the id."""
@@ -112,6 +114,46 @@ def soft_groups(rows: DataFrame, model: Mixture, key: str) -> DataFrame:
     return rows.select(key, "x").mapInPandas(run, f"{key} bigint, group_id int")
 
 
+def mutual_neighbours(rows: DataFrame, key: str, vector: str = "embedding", k: int | None = None, block: int = 2048) -> DataFrame:
+    """``key``, other, sim: pairs (key < other) each among the other's ``k`` nearest of all rows.
+
+    ``k`` is floor(log2 n) unless given. Exact: every pair of hashed blocks is one
+    product of two small matrices that gives ``k`` rows a vector, so no list of
+    pairs exists; the arithmetic is quadratic in the rows. Ties fall to the smaller id.
+    """
+    u = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), unit(F.col(vector)).alias("u"))
+    n = u.count()
+    k = k or max(2, max(2, n).bit_length() - 1)
+    blocks = -(-n // block) or 1
+    u = u.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or held.empty:
+            return pd.DataFrame({"id": [], "other": [], "sim": []})
+        ids, others = asked["id"].to_numpy(), held["id"].to_numpy()
+        sim = np.round(np.array(asked["u"].tolist()) @ np.array(held["u"].tolist()).T, 9)
+        sim[ids[:, None] == others] = -np.inf
+        least = np.partition(sim, -min(k, len(others)), axis=1)[:, -min(k, len(others))]
+        at, to = np.nonzero((sim >= least[:, None]) & (sim > -np.inf))
+        order = np.lexsort((others[to], -sim[at, to], at))
+        at, to = at[order], to[order]
+        kept = np.arange(len(at)) - np.searchsorted(at, at) < k
+        at, to = at[kept], to[kept]
+        return pd.DataFrame({"id": ids[at], "other": others[to], "sim": sim[at, to]})
+
+    kind = dict(u.dtypes)["id"]
+    asked = u.select("id", "u", F.col("own").alias("a"), every.alias("b"))
+    held = u.select("id", "u", every.alias("a"), F.col("own").alias("b"))
+    found = asked.groupBy("a", "b").cogroup(held.groupBy("a", "b")).applyInPandas(best, f"id {kind}, other {kind}, sim double")
+    w = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
+    from recallspark.session import stash
+
+    near = stash(found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n"), "near")
+    back = near.select(F.col("other").alias("id"), F.col("id").alias("other"))
+    return near.join(back, ["id", "other"], "left_semi").where((F.col("id") < F.col("other")) & (F.col("sim") > 0)).withColumnRenamed("id", key)
+
+
 def hierarchical_groups(rows: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """Divisive hierarchy cut at ``k`` leaves."""
     data = rows.withColumn("features", array_to_vector(F.col("x")))

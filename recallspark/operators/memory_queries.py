@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from recallspark.functions import dates as D
 from recallspark.functions import text as T
-from recallspark.functions.vectors import dot, unit, usable
+from recallspark.functions.vectors import unit, usable
 from recallspark.operators import entities as N
 from recallspark.operators import notes as O
 from recallspark.operators import segmentation as S
 from recallspark.operators import views as V
+from recallspark.operators.grouping import mutual_neighbours
 from recallspark.operators.history import standing_notes
 from recallspark.operators.history_queries import _STANDING, _day
 from recallspark.session import table
@@ -64,14 +65,8 @@ def cohesion_by_label(spark, d):
 
 
 def mutual_knn_edges(spark, d):
-    """Pairs of vectors each among the other's nearest, inside a labelled block (k = 5)."""
-    v = table(spark, d, "embeddings").select("label", "vec_id", unit(F.col("embedding")).alias("u"))
-    p = v.join(v.select("label", F.col("vec_id").alias("other"), F.col("u").alias("o")), "label").where(F.col("vec_id") != F.col("other"))
-    p = p.select("label", "vec_id", "other", F.round(dot(F.col("u"), F.col("o")), 9).alias("sim"))
-    w = Window.partitionBy("vec_id").orderBy(F.desc("sim"), "other")
-    near = p.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 5)
-    back = near.select(F.col("other").alias("vec_id"), F.col("vec_id").alias("other"))
-    return near.join(back, ["vec_id", "other"], "left_semi").where((F.col("vec_id") < F.col("other")) & (F.col("sim") > 0)).select("vec_id", "other", F.round("sim", 5).alias("sim"))
+    """Pairs of vectors each among the other's floor(log2 n) nearest of all; the SQL beside it stays inside labels (k = 5)."""
+    return mutual_neighbours(table(spark, d, "embeddings"), "vec_id").select("vec_id", "other", F.round("sim", 5).alias("sim"))
 
 
 def _docs(spark, d):

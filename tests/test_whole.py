@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from recallspark.functions import text as T
+from recallspark.operators import grouping as G
 from recallspark.operators import lexical as L
 from recallspark.operators import search_queries as Q
 
@@ -33,3 +34,15 @@ def test_fuzzy_blocks_give_the_expression_s_scores(spark):
     right = L.top_k(pairs, "overlap", 10, ["episode_id"])
     rows_of = lambda df: sorted(map(tuple, df.select("qid", "rank", "episode_id", "overlap").collect()))
     assert rows_of(got) == rows_of(right) and got.count() == 200
+
+
+def test_mutual_neighbours_cross_labels_and_blocks(spark):
+    v = np.random.default_rng(1).normal(size=(70, 5)).round(1)
+    v[9] = v[3]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sim = np.round(u @ u.T, 9)
+    near = {i: sorted((j for j in range(70) if j != i), key=lambda j: (-sim[i, j], j))[:6] for i in range(70)}
+    want = {(i, j) for i in near for j in near[i] if i < j and i in near[j] and sim[i, j] > 0}
+    rows = spark.createDataFrame([(i, i % 7, v[i].tolist()) for i in range(70)], "vec_id bigint, label int, embedding array<float>")
+    found = G.mutual_neighbours(rows, "vec_id", block=16).collect()
+    assert {(r.vec_id, r.other) for r in found} == want and any(r.vec_id % 7 != r.other % 7 for r in found)
