@@ -238,11 +238,9 @@ def level_of(parts: list[list[str]], lists: Lists) -> tuple[np.ndarray, float]:
     return held / max(total, 1), known / max(total, 1)
 
 
-def calibrate(rated: DataFrame, least: float) -> tuple[dict[str, set[str]], np.ndarray]:
-    """Familiar words, and level = a + b * share + c * length by ridge regression on the ratings."""
-    spark = rated.sparkSession
-    lists = familiar_words(rated, least)
-    shared = spark.sparkContext.broadcast(lists)
+def calibrate(rated: DataFrame, lists: dict[str, set[str]]) -> np.ndarray:
+    """Level = a + b * share + c * length by ridge regression on the ratings; ``lists`` are the familiar words."""
+    shared = rated.sparkSession.sparkContext.broadcast(lists)
     names = [f"v{k}" for k in range(1, LEVELS + 1)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,7 +254,7 @@ def calibrate(rated: DataFrame, least: float) -> tuple[dict[str, set[str]], np.n
     moments = rated.mapInPandas(run, ", ".join(f"s{i} double" for i in range(12)))
     sums = moments.agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(12)]).first()
     a = np.array(sums[:9]).reshape(3, 3) + np.diag([1e-9, 1e-2, 1e-2])
-    return lists, np.linalg.solve(a, np.array(sums[9:])) if sums[0] else np.array([3.0, 0.0, 0.0])
+    return np.linalg.solve(a, np.array(sums[9:])) if sums[0] else np.array([3.0, 0.0, 0.0])
 
 
 def reading_levels(docs: DataFrame, labels: DataFrame, max_rated: int = 8000, least: float = 0.02) -> DataFrame:
@@ -264,7 +262,8 @@ def reading_levels(docs: DataFrame, labels: DataFrame, max_rated: int = 8000, le
     spark = docs.sparkSession
     texts = enough(docs)
     rated = stash(rated_texts(texts, labels, max_rated), "rated")
-    model = (fit_lists(rated), *calibrate(rated, least))
+    familiar = familiar_words(texts, least)
+    model = (fit_lists(rated), familiar, calibrate(rated, familiar))
     shared = spark.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

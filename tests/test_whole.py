@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from recallspark.functions import text as T
+from recallspark.llm.levels import reading_levels
 from recallspark.operators import grouping as G
 from recallspark.operators import lexical as L
 from recallspark.operators import search_queries as Q
@@ -46,3 +47,14 @@ def test_mutual_neighbours_cross_labels_and_blocks(spark):
     rows = spark.createDataFrame([(i, i % 7, v[i].tolist()) for i in range(70)], "vec_id bigint, label int, embedding array<float>")
     found = G.mutual_neighbours(rows, "vec_id", block=16).collect()
     assert {(r.vec_id, r.other) for r in found} == want and any(r.vec_id % 7 != r.other % 7 for r in found)
+
+
+def test_familiar_words_come_from_unrated_texts_too(spark):
+    rare = lambda n: "x" + "".join("abcdefghij"[int(c)] for c in f"{n:06d}")
+    easy = "the cat was at home. " * 12
+    docs = [(i, easy) for i in range(60)] + [(60 + i, " ".join(f"the was {rare(40 * i + 3 * j)} {rare(40 * i + 3 * j + 1)} {rare(40 * i + 3 * j + 2)}." for j in range(12))) for i in range(60)]
+    docs += [(200 + i, "Katze und Milch ist Hund. " * 12) for i in range(3)]
+    rows = spark.createDataFrame([(i, "s", t) for i, t in docs], "doc_id bigint, source string, text string")
+    labels = spark.createDataFrame([(i, 1 if i < 60 else 5) for i in range(120)], "doc_id bigint, level int")
+    got = {r.doc_id: (r.level, r.known) for r in reading_levels(rows, labels).where("doc_id >= 200").collect()}
+    assert got == {200 + i: (1, 0.0) for i in range(3)}
