@@ -11,9 +11,9 @@
 
 Scale: context counts are pre-aggregated in each Arrow batch, keyed by a 64-bit
 hash and held against a bit filter (2 MB, whatever the data) of the contexts that
-some record closes with, so few others are shuffled; an exact join drops those. Band buckets keep one representative (the longest text) by
-partial aggregation, so a bucket that a third of all records share costs one row
-per task. No list of records ever gathers in one task.
+some record closes with, so few others are shuffled; an exact join drops those. Texts of equal content are one class, so a text that a third of all records share
+costs one row per task; every open class is verified against every class of its band
+buckets that its length admits. No list of records ever gathers in one task.
 
 Defined results: NULL, blank and empty-shell texts are not cut; a text that only
 repeats its question is not cut; repeated ids count once, the latest row standing;
@@ -23,6 +23,7 @@ no rows. One-sided ties (a context ending half of the time) count as whole.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -288,19 +289,31 @@ def goes_on(a: list[str], b: list[str]) -> bool:
 
 def continued_copies(sides: DataFrame) -> DataFrame:
     """(pq_id, side) of open-ended texts with a near-copy that goes on."""
-    texts = sides.where((F.col("side") != "question") & (F.size("bands") > 0))
-    banded = texts.select("pq_id", "side", "content", "words", F.explode("bands").alias("band"), (~F.col("stop") | F.col("marked")).alias("open"))
-    longest = F.max(F.struct(F.size("words").alias("n"), "content", "words")).alias("rep")
-    asked = banded.where("open").select("pq_id", "side", "content", F.col("words").alias("mine"), "band")
-    reps = banded.select("band", "content", "words").join(asked.select("band").distinct(), "band", "left_semi").groupBy("band").agg(longest)
-    pairs = asked.join(reps, "band").where(F.col("content") != F.col("rep.content")).select("pq_id", "side", "mine", F.col("rep.words").alias("other"))
+    opened = ~F.col("stop") | F.col("marked")
+    texts = sides.where((F.col("side") != "question") & (F.size("bands") > 0)).withColumn("class", F.md5("content"))
+    classes = texts.groupBy("class").agg(F.any_value("words").alias("words"), F.any_value("bands").alias("bands"), F.max(opened).alias("open"))
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(n=[len(shingles([t.lower() for t in w if t[0].isalnum()])) for w in frame["words"]])
+
+    classes = stash(classes.mapInPandas(count, "class string, words array<string>, bands array<bigint>, open boolean, n int"), "classes")
+    # texts alike to ALIKE differ by that factor in shingles at most, so by one window
+    window = F.floor(F.log("n") / -math.log(ALIKE))
+    banded = classes.select("class", "open", "n", window.alias("window"), F.explode("bands").alias("band"))
+    asked = banded.where("open").select(F.col("class").alias("a"), F.col("n").alias("m"), "band", F.explode(F.array(*[F.col("window") + i for i in (-1, 0, 1)])).alias("window"))
+    held = banded.select(F.col("class").alias("b"), "n", "band", "window")
+    near = (F.col("a") != F.col("b")) & (F.least("m", "n") >= ALIKE * F.greatest("m", "n"))
+    pairs = asked.join(held, ["band", "window"]).where(near).select("a", "b").distinct()
+    pairs = pairs.join(classes.select(F.col("class").alias("a"), F.col("words").alias("mine")), "a").join(classes.select(F.col("class").alias("b"), F.col("words").alias("other")), "b")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             keep = [goes_on(list(a), list(b)) for a, b in zip(frame["mine"], frame["other"])]
-            yield frame.loc[keep, ["pq_id", "side"]]
+            yield frame.loc[keep, ["a"]].rename(columns={"a": "class"})
 
-    return pairs.mapInPandas(run, "pq_id bigint, side string").distinct()
+    found = pairs.select("a", "mine", "other").mapInPandas(run, "class string").distinct()
+    return texts.where(opened).join(found, "class", "left_semi").select("pq_id", "side").distinct()
 
 
 def closing_scores(sides: DataFrame) -> DataFrame:
