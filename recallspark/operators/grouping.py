@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,12 +20,13 @@ def random_groups(rows: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame
     return rows.select(key, F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int").alias("group_id"))
 
 
-def project(rows: DataFrame, vector: str = "embedding", share: float = 0.95, most: int = 32) -> DataFrame:
-    """``x``: principal components that hold ``share`` of the variance, at most ``most``."""
+def project(rows: DataFrame, vector: str = "embedding", share: float = 0.95) -> DataFrame:
+    """``x``: as many principal components as hold ``share`` of the variance, up to the dimension."""
     data = rows.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
+    most = data.select(F.size(vector).alias("d")).first().d
     model = PCA(k=most, inputCol="_v", outputCol="_p").fit(data)
     held = np.cumsum(np.array(model.explainedVariance))
-    keep = int(max(2, min(most, np.searchsorted(held, share) + 1)))
+    keep = int(max(min(2, most), min(most, np.searchsorted(held, share) + 1)))
     return model.transform(data).withColumn("x", F.slice(vector_to_array("_p"), 1, keep)).drop("_v", "_p")
 
 
@@ -36,63 +37,82 @@ class Mixture:
         self.weights, self.means, self.variances = weights, means, variances
 
     def posterior(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = ((x[:, None, :] - self.means) ** 2 / self.variances).sum(2) + np.log(2 * np.pi * self.variances).sum(1)
+        # the squares taken apart, so that no array of rows x components x dimensions exists
+        d = (x * x) @ (1 / self.variances).T - 2 * x @ (self.means / self.variances).T
+        d = d + (self.means**2 / self.variances + np.log(2 * np.pi * self.variances)).sum(1)
         log = np.log(self.weights + 1e-12) - 0.5 * d
         top = log.max(1, keepdims=True)
         total = top[:, 0] + np.log(np.exp(log - top).sum(1))
         return np.exp(log - total[:, None]), total
 
 
-def fit_mixture(rows: DataFrame, k: int, rounds: int = 8, seed: int = 0, tol: float = 1e-4) -> tuple[Mixture, float]:
-    """Mixture and log-likelihood of column ``x``. Starting means come from a sample of at most 50 k rows."""
-    spark = rows.sparkSession
-    n = rows.count()
-    share = min(1.0, 100 * k / max(n, 1))
-    start = np.array([r.x for r in rows.select("x").sample(share, seed).limit(50 * k).collect()] or [r.x for r in rows.select("x").limit(k).collect()])
+def _start(sample: np.ndarray, k: int, seed: int) -> Mixture:
+    """Means spread over a sample, each drawn by its distance from those before."""
     rng = np.random.default_rng(seed)
-    means = [start[rng.integers(len(start))]]
+    means = [sample[rng.integers(len(sample))]]
+    d = np.full(len(sample), np.inf)
     while len(means) < k:
-        d = np.min([((start - m) ** 2).sum(1) for m in means], axis=0)
-        means.append(start[rng.choice(len(start), p=d / d.sum())] if d.sum() else start[rng.integers(len(start))])
-    model = Mixture(np.full(k, 1 / k), np.array(means), np.tile(start.var(0) + 1e-3, (k, 1)))
-    likelihood = -np.inf
+        d = np.minimum(d, ((sample - means[-1]) ** 2).sum(1))
+        means.append(sample[rng.choice(len(sample), p=d / d.sum())] if d.sum() else sample[rng.integers(len(sample))])
+    return Mixture(np.full(k, 1 / k), np.array(means), np.tile(sample.var(0) + 1e-3, (k, 1)))
+
+
+def fit_mixtures(rows: DataFrame, wanted: list[tuple[int, int]], rounds: int = 8, tol: float = 1e-4) -> list[tuple[Mixture, float]]:
+    """Mixture and log-likelihood of column ``x`` for each wanted (k, seed).
+
+    All are fitted in the same passes. Starting means come from a sample of at most
+    50 rows a component; what comes to the driver is bounded by the components.
+    """
+    spark = rows.sparkSession
+    n, most = rows.count(), max(k for k, _ in wanted)
+    share = min(1.0, 100 * most / max(n, 1))
+    sample = np.array([r.x for r in rows.select("x").sample(share, 0).limit(50 * most).collect()] or [r.x for r in rows.select("x").limit(most).collect()])
+    models = [_start(sample, k, seed) for k, seed in wanted]
+    likelihood, running = [-np.inf] * len(models), set(range(len(models)))
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
+        shared = spark.sparkContext.broadcast({m: models[m] for m in running})
 
         def step(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            sums: dict[int, list] = {}
             for frame in frames:
                 x = np.array(frame["x"].tolist())
-                p, total = shared.value.posterior(x)
-                k = p.shape[1]
-                yield pd.DataFrame({"j": range(k), "n": p.sum(0), "s": (p.T @ x).tolist(), "q": (p.T @ (x * x)).tolist(), "l": [total.sum(), *[0.0] * (k - 1)]})
-
-        parts = rows.select("x").mapInPandas(step, "j int, n double, s array<double>, q array<double>, l double")
-        added = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(model.means.shape[1])]).alias(c)
-        sums = parts.groupBy("j").agg(F.sum("n").alias("n"), added("s"), added("q"), F.sum("l").alias("l")).orderBy("j").collect()  # k rows
-        mass = np.array([r.n for r in sums]) + 1e-9
-        means = np.array([r.s for r in sums]) / mass[:, None]
-        variances = np.maximum(np.array([r.q for r in sums]) / mass[:, None] - means**2, 1e-6)
-        model = Mixture(mass / mass.sum(), means, variances)
-        now = sum(r.l for r in sums)
-        if abs(now - likelihood) < tol * max(abs(now), 1.0):
+                for m, model in shared.value.items():
+                    p, total = model.posterior(x)
+                    new = [p.sum(0), p.T @ x, p.T @ (x * x), total.sum()]
+                    sums[m] = [a + b for a, b in zip(sums[m], new)] if m in sums else new
+            for m, (mass, s, q, total) in sums.items():
+                k = len(mass)
+                yield pd.DataFrame({"m": m, "j": range(k), "n": mass, "s": s.tolist(), "q": q.tolist(), "l": [total, *[0.0] * (k - 1)]})
+
+        parts = rows.select("x").mapInPandas(step, "m int, j int, n double, s array<double>, q array<double>, l double")
+        added = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(sample.shape[1])]).alias(c)
+        found = parts.groupBy("m", "j").agg(F.sum("n").alias("n"), added("s"), added("q"), F.sum("l").alias("l")).toPandas()
+        for m, sums in found.sort_values(["m", "j"]).groupby("m"):
+            mass = sums["n"].to_numpy() + 1e-9
+            means = np.array(sums["s"].tolist()) / mass[:, None]
+            variances = np.maximum(np.array(sums["q"].tolist()) / mass[:, None] - means**2, 1e-6)
+            models[m] = Mixture(mass / mass.sum(), means, variances)
+            now = float(sums["l"].sum())
+            if abs(now - likelihood[m]) < tol * max(abs(now), 1.0):
+                running.discard(m)
+            likelihood[m] = now
+        if not running:
             break
-        likelihood = now
-    return model, now
+    return list(zip(models, likelihood))
 
 
-def select_mixture(rows: DataFrame, ks: tuple[int, ...] = (4, 10), seed: int = 0) -> Mixture:
-    """The number of components with the lowest Bayesian information criterion."""
+def select_mixture(rows: DataFrame, ks: Sequence[int] | None = None, seeds: Sequence[int] = (0, 1, 2)) -> Mixture:
+    """Of 1 to min(60, n / 10) components the number with the lowest Bayesian information criterion, averaged over seeds."""
     n = rows.count()
-    best = None
-    for k in ks:
-        if k > n:
-            continue
-        model, likelihood = fit_mixture(rows, k, seed=seed)
+    ks = [k for k in ks if k <= n] if ks else range(1, max(1, min(60, n // 10)) + 1)
+    wanted = [(k, seed) for k in ks for seed in seeds]
+    fitted = fit_mixtures(rows, wanted)
+    bics: dict[int, list[float]] = {}
+    for (k, _), (model, likelihood) in zip(wanted, fitted):
         d = model.means.shape[1]
-        bic = (2 * k * d + k - 1) * np.log(max(n, 2)) - 2 * likelihood
-        if best is None or bic < best[0]:
-            best = (bic, model)
-    return best[1]
+        bics.setdefault(k, []).append((2 * k * d + k - 1) * np.log(max(n, 2)) - 2 * likelihood)
+    best = min(bics, key=lambda k: (np.mean(bics[k]), k))
+    return max((f for (k, _), f in zip(wanted, fitted) if k == best), key=lambda f: f[1])[0]
 
 
 def soft_groups(rows: DataFrame, model: Mixture, key: str) -> DataFrame:

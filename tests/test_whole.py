@@ -70,3 +70,14 @@ def test_a_longer_text_in_the_bucket_does_not_hide_the_copy_that_goes_on(spark):
     # whatever the bands say, all three are in one bucket
     sides = sides_of(records).withColumn("bands", F.when(F.col("side") == "prediction", F.array(F.lit(1).cast("bigint"))).otherwise(F.array().cast("array<bigint>")))
     assert [(r.pq_id, r.side) for r in continued_copies(sides).collect()] == [(0, "prediction")]
+
+
+def test_mixture_finds_other_numbers_of_groups_and_all_variance(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 40)) * 20
+    v = np.concatenate([c + rng.normal(size=(30, 40)) for c in centres])
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, x array<double>")
+    assert len(G.select_mixture(rows).means) == 6
+    noise = rng.normal(size=(300, 40))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(noise)], "vec_id bigint, embedding array<double>")
+    assert len(G.project(rows).first().x) > 32
