@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.functions.dates import parse_session_date
+from recallspark.session import stash
 
 
 def hash_diff(cols: Sequence[Column]) -> Column:
@@ -114,21 +115,39 @@ def standing_notes(notes: DataFrame, kinds: DataFrame) -> DataFrame:
     return dated.groupBy("conv_id", "note_key", "day").agg(best).select("conv_id", "note_key", "day", "n.note_id", "n.value", "n.until", "n.status")
 
 
-def note_history(notes: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Versions per conversation and key: value, period (``end`` exclusive, NULL = open).
+KEY = ["conv_id", "note_key"]
+#: What a standing note says of its key.
+ATTRIBUTES = ["value", "status", "until"]
+
 
-    The value lives in the insert-only satellite; a note's own ``valid_until`` that
-    lies after its day and before the next standing day appends a tombstone.
+def note_satellites(notes: DataFrame, kinds: DataFrame, threshold: float = 0.5) -> list[tuple[list[str], DataFrame]]:
+    """(attributes, satellite) for the slow and the fast attributes by their measured change rates; an empty side has none.
+
+    Each satellite appends by the hash-diff of its own attributes. A note's own
+    ``valid_until`` that lies after its day and before the next standing day
+    appends a tombstone to both.
     """
-    key = ["conv_id", "note_key"]
-    w = Window.partitionBy(*key).orderBy("day")
-    rows = standing_notes(notes, kinds).withColumn("_next", F.lead("day").over(w))
+    w = Window.partitionBy(*KEY).orderBy("day")
+    standing = stash(standing_notes(notes, kinds), "standing")
+    rows = standing.withColumn("_next", F.lead("day").over(w))
     closes = (F.col("until") > F.col("day")) & (F.col("_next").isNull() | (F.col("until") < F.col("_next")))
     opened = F.struct(F.col("day").alias("start"), F.lit(True).alias("alive"))
     closed = F.struct(F.col("until").alias("start"), F.lit(False).alias("alive"))
     events = rows.select(
-        *key, "value", "note_id", "status",
+        *KEY, *ATTRIBUTES, "note_id",
         F.explode(F.when(closes, F.array(opened, closed)).otherwise(F.array(opened))).alias("e"),
-    ).select(*key, "e.start", "e.alive", "value", "note_id", "status")
-    satellite = append_satellite(None, events, key, "start", ["value"], F.col("alive"))
-    return satellite_view(satellite, key, "start").select(*key, "value", "note_id", "status", "start", "end", "hash_diff")
+    ).select(*KEY, "e.start", "e.alive", *ATTRIBUTES, "note_id")
+    parts = split_by_change_rate(standing, KEY, "day", ATTRIBUTES, threshold)
+    return [(own, append_satellite(None, events.select(*KEY, "start", "alive", "note_id", *own), KEY, "start", own, F.col("alive")).drop("alive")) for own in parts if own]
+
+
+def note_history(notes: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Versions per conversation and key: value, period (``end`` exclusive, NULL = open).
+
+    From the satellite that has the value; rows that only change its other attributes make no version here.
+    """
+    satellite = next(rows for own, rows in note_satellites(notes, kinds) if "value" in own)
+    alive = F.col("alive")
+    values = satellite.select(*KEY, "start", "value", "note_id", F.col("hash_diff").isNotNull().alias("alive"))
+    values = append_satellite(None, values, KEY, "start", ["value"], alive)
+    return satellite_view(values, KEY, "start").select(*KEY, "value", "note_id", "start", "end", "hash_diff")

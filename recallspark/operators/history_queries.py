@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallspark.operators.history import change_rates, note_history, standing_notes
+from recallspark.operators.history import KEY, change_rates, note_history, note_satellites, satellite_view, standing_notes
 from recallspark.session import table
 
 
@@ -28,6 +30,18 @@ def p3_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_satellites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version of each slow and fast satellite: its attributes as JSON, and the period they held."""
+    parts = []
+    for own, rows in note_satellites(table(spark, sf_dir, "notes"), table(spark, sf_dir, "attribute_kinds")):
+        view = satellite_view(rows, KEY, "start")
+        parts.append(view.select(
+            *KEY, F.lit(", ".join(own)).alias("attributes"), F.to_json(F.struct(*own)).alias("held"),
+            F.date_format("start", "yyyy-MM-dd").alias("valid_from"), F.date_format("end", "yyyy-MM-dd").alias("valid_until"),
+        ))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p3_change_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of standing notes that change each attribute: what decides the satellites."""
     rows = standing_notes(table(spark, sf_dir, "notes"), table(spark, sf_dir, "attribute_kinds"))
@@ -74,7 +88,7 @@ versions AS (
          CASE WHEN count(*) = count(stop) THEN max(stop) END AS stop
   FROM runs GROUP BY conv_id, note_key, run)"""
 
-QUERIES = {"p3_found": p3_found, "p3_history": p3_history, "p3_change_rates": p3_change_rates}
+QUERIES = {"p3_found": p3_found, "p3_history": p3_history, "p3_satellites": p3_satellites, "p3_change_rates": p3_change_rates}
 
 SQL = {
     "p3_found": _VERSIONS + """

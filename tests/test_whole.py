@@ -9,6 +9,7 @@ from recallspark.functions import text as T
 from recallspark.llm.endings import continued_copies, sides_of
 from recallspark.llm.levels import reading_levels
 from recallspark.operators import grouping as G
+from recallspark.operators import history as H
 from recallspark.operators import lexical as L
 from recallspark.operators import search_queries as Q
 
@@ -81,3 +82,16 @@ def test_mixture_finds_other_numbers_of_groups_and_all_variance(spark):
     noise = rng.normal(size=(300, 40))
     rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(noise)], "vec_id bigint, embedding array<double>")
     assert len(G.project(rows).first().x) > 32
+
+
+def test_a_change_of_status_alone_is_kept(spark):
+    schema = "conv_id string, note_id string, subject string, attribute string, statement string, event_time string, recorded_time string, valid_from string, valid_until string, status string, ingested_at timestamp"
+    days = [("n1", "A", "2024-01-01", "active"), ("n2", "A", "2024-02-01", "superseded"), ("n3", "A", "2024-03-01", "superseded"), ("n4", "A", "2024-04-01", "active")]
+    notes = spark.createDataFrame([("c", i, "Ann", "job", v, None, None, d, None, s, datetime(2024, 1, 1)) for i, v, d, s in days], schema)
+    kinds = spark.createDataFrame([("job", True)], "attribute string, stateful boolean")
+    found = {tuple(own): sorted((str(r.start), *[r[a] for a in own]) for r in rows.collect()) for own, rows in H.note_satellites(notes, kinds)}
+    assert found == {
+        ("value", "until"): [("2024-01-01", "a", None)],
+        ("status",): [("2024-01-01", "active"), ("2024-02-01", "superseded"), ("2024-04-01", "active")],
+    }
+    assert [(str(r.start), r.end) for r in H.note_history(notes, kinds).collect()] == [("2024-01-01", None)]
