@@ -20,7 +20,7 @@ from recallspark.streaming import ingest as I
 
 def _pipeline(spark, d):
     q = V.questions(spark, d).where(F.col("pq_id") % 100 == 0).select(F.col("pq_id").alias("qid"), F.col("sample").alias("conv_id"), F.col("question").alias("terms"))
-    e = V.episodes(spark, d)
+    e = V.episodes(spark, d, "session_id", "session_datetime").withColumn("session", F.coalesce("session_id", "session_datetime"))
     n = V.notes(spark, d, "provenance").withColumn("text", F.concat_ws(" ", "subject", "attribute", "statement"))
     return q, e, n
 
@@ -32,7 +32,7 @@ def retrieve_packs(spark, d):
 
 def answers(spark, d):
     q, e, n = _pipeline(spark, d)
-    cfg = RetrievalConfig(expand_summaries=0, prf_docs=0)
+    cfg = RetrievalConfig()
     packs = stash(retrieve(q, e, n, cfg), "packs")
     texts = e.select(F.col("episode_id").alias("id"), "text").unionByName(n.select(F.col("note_id").alias("id"), "text"))
     return answer(packs, q, texts, cfg)

@@ -10,13 +10,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.models import Encoder, ExtractiveReader, HashEncoder, LanguageModel, OverlapReranker, Reranker, encode_column
 from recallspark.operators import ranking as R
 from recallspark.operators.fusion import hybrid_search
 from recallspark.operators.lexical import bm25, top_k
+from recallspark.operators.views import with_seq
+from recallspark.session import stash
 
 
 @dataclass
@@ -88,13 +90,28 @@ def rerank(pool: DataFrame, questions: DataFrame, texts: DataFrame, cfg: Retriev
 
 
 def retrieve(questions: DataFrame, episodes: DataFrame, notes: DataFrame, cfg: RetrievalConfig | None = None) -> DataFrame:
-    """The pack of every question: qid, kind, id, place."""
+    """The pack of every question with its neighbours: qid, kind, id, place.
+
+    ``episodes`` may have a ``session``; episodes within ``context_window`` places of a packed
+    one, in its session, follow the pack in their order as kind ``neighbour``.
+    """
     cfg = cfg or RetrievalConfig()
     pool = rank_pool(questions, episodes, notes, cfg)
     texts = episodes.select(F.col("episode_id").alias("id"), "text").unionByName(notes.select(F.col("note_id").alias("id"), "text"))
     ranked = rerank(pool, questions, texts, cfg)
     pack = {"additive": R.pack_additive, "compete": R.pack_compete, "route": R.pack_compete}[cfg.note_mode]
-    return pack(ranked, cfg.top_k).select("qid", "kind", "id", "place")
+    packs = pack(ranked, cfg.top_k).select("qid", "kind", "id", "place")
+    if not cfg.context_window:
+        return packs
+    packs = stash(packs, "packs")
+    session = F.coalesce("session", F.lit("")) if "session" in episodes.columns else F.lit("")
+    docs = with_seq(episodes.select("conv_id", "episode_id", session.alias("session"))).withColumnRenamed("episode_id", "id")
+    asked = packs.where(F.col("kind") == "episode").select("qid", "id").join(docs, "id")
+    fresh = R.neighbours(asked, docs, cfg.context_window).join(packs.select("qid", "id"), ["qid", "id"], "left_anti")
+    last = packs.groupBy("qid").agg(F.max("place").alias("last"))
+    order = F.row_number().over(Window.partitionBy("qid").orderBy("seq", "id"))
+    behind = fresh.join(last, "qid").select("qid", F.lit("neighbour").alias("kind"), "id", (F.col("last") + order).alias("place"))
+    return packs.unionByName(behind)
 
 
 def answer(packs: DataFrame, questions: DataFrame, texts: DataFrame, cfg: RetrievalConfig | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from recallspark.operators import grouping as G
 from recallspark.operators import history as H
 from recallspark.operators import lexical as L
 from recallspark.operators import search_queries as Q
+from recallspark.plans.retrieve import RetrievalConfig, retrieve
 
 
 def test_fuzzy_search_counts_tokens_behind_the_twelfth(spark, tmp_path):
@@ -95,3 +96,12 @@ def test_a_change_of_status_alone_is_kept(spark):
         ("status",): [("2024-01-01", "active"), ("2024-02-01", "superseded"), ("2024-04-01", "active")],
     }
     assert [(str(r.start), r.end) for r in H.note_history(notes, kinds).collect()] == [("2024-01-01", None)]
+
+
+def test_packs_have_their_neighbours(spark):
+    texts = ["red fox", "blue hen", "green owl", "grey cat"]
+    e = spark.createDataFrame([("c", f"e-{i}", t, "s" if i < 3 else "t") for i, t in enumerate(texts)], "conv_id string, episode_id string, text string, session string")
+    q = spark.createDataFrame([(1, "c", "green owl")], "qid bigint, conv_id string, terms string")
+    n = spark.createDataFrame([], "conv_id string, note_id string, text string, provenance array<string>")
+    got = {r.id: (r.kind, r.place) for r in retrieve(q, e, n, RetrievalConfig(top_k=1, scan_top_k=1, prf_docs=0)).collect()}
+    assert got == {"e-2": ("episode", 1), "e-1": ("neighbour", 2)}
