@@ -11,6 +11,7 @@ from recallspark.session import stash, table
 
 
 def _cut_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions with ``cut``, which is false where the language or refusal rule of problem 5 fires."""
     sides = stash(sides_of(table(spark, sf_dir, "per_question"), own_defects), "sides")
     cut = stash(find_cut(sides), "cut")
     other = defects_of(sides, cut).where(F.array_contains("defects", "language") | F.array_contains("defects", "refusal")).select("pq_id", "side")
