@@ -9,8 +9,9 @@ joined, they are the text, character for character.
 
 Boundaries, strongest first: end of an utterance, of a paragraph, of a line, of a
 sentence, of a clause, of a token. "Near" is the middle half of the span; if it
-has no sentence end or better, the whole span is searched for one before weaker
-boundaries count.
+has no sentence end or better, the search for one widens, but leaves at least
+``overlap`` tokens on either side, before weaker boundaries count. So no piece is
+a sliver and every overlap is whole.
 
 Scale: a length test on the JVM drops short texts before Python sees them; only
 oversized texts are shuffled, once, to keep the latest row of an id. Each text is
@@ -93,18 +94,25 @@ def strengths(text: str, starts: np.ndarray, ends: np.ndarray, utterances) -> np
     return power
 
 
-def bisect(power: np.ndarray, most: int) -> list[int]:
-    """Token numbers at which pieces begin, each piece holding at most ``most`` tokens."""
+def bisect(power: np.ndarray, most: int, least: int = 1) -> list[int]:
+    """Token numbers at which pieces begin, each piece holding at most ``most`` tokens.
+
+    The search for a sentence end or better widens from the middle half to three
+    quarters to all places that leave ``least`` tokens on either side; then weaker
+    boundaries of the middle half count.
+    """
     cuts, todo = [], [(0, len(power))]
     while todo:
         lo, hi = todo.pop()
-        if hi - lo <= most:
+        n = hi - lo
+        if n <= most:
             cuts.append(lo)
             continue
-        quarter, mid = (hi - lo) // 4, (lo + hi) / 2
-        for a, b, least in ((lo + quarter, hi - quarter, 2), (lo + 1, hi, 2), (lo + quarter, hi - quarter, 0)):
+        mid = (lo + hi) / 2
+        for margin, needed in ((n // 4, 2), (max(n // 8, least), 2), (least, 2), (n // 4, 0)):
+            a, b = lo + max(margin, 1), hi - max(margin, 1) + 1
             span = power[a:b]
-            if len(span) and (best := span.max()) >= least:
+            if len(span) and (best := span.max()) >= needed:
                 where = a + np.flatnonzero(span == best)
                 cut = int(where[np.argmin(np.abs(where - mid))])
                 break
@@ -121,7 +129,7 @@ def split_text(raw: str | None, utterances, limit: int, overlap: int) -> list[tu
     spans = np.array([m.span() for m in TOKEN.finditer(text)])
     starts, ends = spans[:, 0], spans[:, 1]
     power = strengths(text, starts, ends, utterances)
-    cuts = [*bisect(power, limit - overlap), len(starts)]
+    cuts = [*bisect(power, limit - overlap, max(overlap, 1)), len(starts)]
     pieces = []
     for lo, hi in zip(cuts, cuts[1:]):
         back = min(overlap, lo)
