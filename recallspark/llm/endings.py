@@ -1,19 +1,25 @@
 """Text cut off by field limits: near-copies that go on, and how closings end.
 
-1. Every text is unwrapped (shells, labels, cut marks). Texts with an open end are
-   compared with near-copies found by min-hash banding over five-word shingles
-   (similarity 0.8 or more). The pair is aligned on the words; a copy whose
-   alignment ends inside a sentence of the other was cut.
+1. Every text is unwrapped (shells, labels, cut marks) and its sentences written in
+   symbols that do not tell names and numbers apart; sentences of equal symbols are
+   one class. The last sentence of an open-ended text is compared with near-copies
+   among all sentences. Candidates come from min-hash banding over five-word
+   shingles, taken over prefixes of growing length: the open sentence asks with its
+   longest such prefix, and every sentence holds the bands of all of its own, so
+   truncation does not hide a copy. A pair counts if the other sentence contains at
+   least 0.8 of the open one's shingles. It is then aligned on the closing words. A
+   text was cut where the copies go on behind its end and (next to) none ends.
 2. Records without such a copy are scored by closing-word terminality: of all
    places in the corpus where the closing words (up to six, the longest context
    seen often enough) occur, the share where a sentence ends there. A closing
    word never seen whole, but the beginning of words that are, was cut inside.
 
 Scale: context counts are pre-aggregated in each Arrow batch, keyed by a 64-bit
-hash and held against a bit filter (2 MB, whatever the data) of the contexts that
-some record closes with, so few others are shuffled; an exact join drops those. Texts of equal content are one class, so a text that a third of all records share
-costs one row per task; every open class is verified against every class of its band
-buckets that its length admits. No list of records ever gathers in one task.
+hash and held against a bit filter of the contexts that some record closes with.
+The filter is sized by their number, 64 MB at most; what it lets through an exact
+join drops. A class costs one row per task, however many records share it. Bands
+travel as hashes and class ids, symbols are fetched for candidate pairs alone. No
+list of records ever gathers in one task.
 
 Defined results: NULL, blank and empty-shell texts are not cut; a text that only
 repeats its question is not cut; repeated ids count once, the latest row standing;
@@ -23,7 +29,7 @@ no rows. One-sided ties (a context ending half of the time) count as whole.
 
 from __future__ import annotations
 
-import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -43,28 +49,32 @@ ALIKE = 0.8
 SEEN = 4
 #: Least share of endings for a whole text: in a text with stops inside, and in one without.
 LEAST_WITH_STOPS, LEAST_WITHOUT = 0.2, 0.03
+#: Least share of near-copies that end where a whole text ends.
+LEAST_COPIES = 0.03
 
 SIDES = (
-    "pq_id bigint, side string, run_name string, words array<string>, content string, stop boolean, inner_stop boolean, comma boolean, "
-    "broken boolean, marked boolean, unclosed boolean, copied boolean, empty boolean, last string, keys array<bigint>, found array<string>, bands array<bigint>"
+    "pq_id bigint, side string, run_name string, words array<string>, stop boolean, inner_stop boolean, comma boolean, "
+    "broken boolean, marked boolean, unclosed boolean, copied boolean, empty boolean, last string, keys array<bigint>, found array<string>, class binary"
 )
 
 
-_SYMBOLS: dict[str, int] = {}
+class _Hashes(dict):
+    """64-bit hashes of symbols; a worker keeps the frequent ones."""
+
+    def __missing__(self, x: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        h = self[x] = xxhash.xxh64_intdigest(x)
+        return h
+
+
+_SYMBOLS = _Hashes()
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_MASK = (1 << 64) - 1
 
 
 def symbol_hashes(symbols: list[str]) -> np.ndarray:
-    """64-bit hashes of symbols; a worker keeps the frequent ones."""
-    if len(_SYMBOLS) > 200_000:
-        _SYMBOLS.clear()
-    out = np.empty(len(symbols), np.uint64)
-    for i, x in enumerate(symbols):
-        h = _SYMBOLS.get(x)
-        if h is None:
-            h = _SYMBOLS[x] = xxhash.xxh64_intdigest(x)
-        out[i] = h
-    return out
+    return np.fromiter((_SYMBOLS[x] for x in symbols), np.uint64, len(symbols))
 
 
 def run_hashes(h: np.ndarray, longest: int) -> list[np.ndarray]:
@@ -82,6 +92,15 @@ def run_hashes(h: np.ndarray, longest: int) -> list[np.ndarray]:
     return runs
 
 
+def closing_keys(symbols: list[str], longest: int = LONGEST) -> list[int]:
+    """As ``run_hashes`` at the last place alone, signed; as many as there are symbols."""
+    h, keys = 0, []
+    for x in symbols[: -longest - 1 : -1]:
+        h = ((h ^ (h >> 29)) * int(_STEP) + _SYMBOLS[x]) & _MASK if keys else _SYMBOLS[x]
+        keys.append(h - (1 << 64) if h >> 63 else h)
+    return keys
+
+
 def classes(tokens: list[str]) -> list[str]:
     """Tokens as context symbols: numbers and names inside a sentence are alike."""
     shout = all(t.upper() == t for t in tokens) and any(len(t) > 1 for t in tokens)
@@ -102,58 +121,110 @@ def classes(tokens: list[str]) -> list[str]:
     return out
 
 
-def shingles(plain: list[str]) -> set[str]:
-    return {" ".join(plain[i : i + SHINGLE]) for i in range(len(plain) - SHINGLE + 1)}
+def masked(tokens: list[str]) -> list[str]:
+    """Symbols of a whole text for comparing it with others: a capital at its start tells nothing."""
+    symbols = classes(tokens)[1:]
+    if tokens and tokens[0][0].isupper():
+        symbols[0] = "<N>"
+    return symbols
+
+
+def is_word(symbol: str) -> bool:
+    return symbol[0].isalnum() or symbol in ("<N>", "#")
+
+
+def shingles(plain: list[str]) -> set[tuple[str, ...]]:
+    return set(zip(*(plain[i:] for i in range(SHINGLE))))
 
 
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 1 << 61, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 61, BANDS * ROWS, dtype=np.uint64)
+#: Prefix lengths in shingles, each half again as long as the one before.
+PREFIXES = [1]
+while PREFIXES[-1] < 1 << 40:
+    PREFIXES.append(PREFIXES[-1] * 3 // 2 + 1)
 
 
 def band_keys(texts: list[list[str]]) -> list[list[int]]:
-    """Min-hash bands of the five-word shingles of each text; none for shorter ones."""
+    """Min-hash bands of each text's prefixes, shortest first; none for texts under five words."""
     out: list[list[int]] = [[] for _ in texts]
+    offset = np.arange(BANDS, dtype=np.uint64)
     for at in range(0, len(texts), 512):
         some = [i for i in range(at, min(at + 512, len(texts))) if len(texts[i]) >= SHINGLE]
         if not some:
             continue
         grams = [run_hashes(symbol_hashes(texts[i]), SHINGLE)[-1][SHINGLE - 1 :] for i in some]
-        starts = np.cumsum([0, *[len(g) for g in grams[:-1]]])
+        levels = [bisect_right(PREFIXES, len(g)) for g in grams]
+        grams = [g[: PREFIXES[n - 1]] for g, n in zip(grams, levels)]
+        starts, base = [], 0
+        for g, n in zip(grams, levels):
+            starts += [base + (PREFIXES[j - 1] if j else 0) for j in range(n)]
+            base += len(g)
         low = np.minimum.reduceat((np.concatenate(grams)[:, None] | np.uint64(1)) * _A + _B, starts, axis=0)
-        low = low.reshape(len(some), BANDS, ROWS)
+        number = np.concatenate([np.arange(n) for n in levels])
+        for j in range(1, max(levels)):  # a longer prefix holds the shorter ones
+            deep = np.flatnonzero(number == j)
+            low[deep] = np.minimum(low[deep], low[deep - 1])
+        low = low.reshape(len(low), BANDS, ROWS)
         keys = low[:, :, 0]
         for r in range(1, ROWS):
             keys = (keys ^ (keys >> np.uint64(31))) * _STEP + low[:, :, r]
-        keys = keys + np.arange(BANDS, dtype=np.uint64)
-        for i, row in zip(some, keys.view(np.int64).tolist()):
-            out[i] = row
+        keys = ((keys + offset) ^ (number.astype(np.uint64) << np.uint64(57))[:, None]).view(np.int64)
+        base = 0
+        for i, n in zip(some, levels):
+            out[i] = keys[base : base + n].ravel().tolist()
+            base += n
     return out
 
 
 def prepare(pq_id: int, side: str, run: str | None, question: str | None, text: str | None, rules=None) -> list:
-    """One side of a record as a row of ``SIDES``, its words in the place of the bands."""
+    """One side of a record as a row of ``SIDES``."""
     content = unwrap(text)
     tokens = words(content.text)
-    asked = sorted(w.lower() for w in words(question or "") if w[0].isalnum())
     plain = [t.lower() for t in tokens if t[0].isalnum()]
-    body = list(tokens)
+    end = len(tokens)
     stop = comma = False
-    while body and not body[-1][0].isalnum():
-        mark = body.pop()
+    while end and not tokens[end - 1][0].isalnum():
+        end -= 1
+        mark = tokens[end]
         stop |= is_stop(mark)
         comma |= not stop and mark[0] in ",;:"
-    closing = run_hashes(symbol_hashes(classes(body)), LONGEST) if body else []
+    body = tokens[:end]
+    symbols = classes(body) if body else []
+    asked = [w.lower() for w in words(question) if w[0].isalnum()] if question else []
+    last = next((sentence for sentence, _ in reversed(sentences_of(tokens))), []) if side != "question" else []
     return [
-        pq_id, side, run, tokens, content.text, stop, any(is_stop(t) for t in body), comma,
+        pq_id, side, run, tokens, stop, "." in symbols, comma,
         bool(text) and "�" in text[-3:], content.marked, content.unclosed,
         bool(plain) and bool(asked) and repeats(plain, asked), not has_letters(content.text), body[-1] if body else None,
-        [int(h[-1].astype(np.int64)) for h in closing[: len(body) + 1]],
+        closing_keys(symbols),
         rules(question, content.text) if rules and side != "question" else [],
-        plain,
+        class_of(masked(last)) if enough_words(last) else None,
     ]
 
 
+def sentences_of(tokens: list[str]) -> list[tuple[list[str], bool]]:
+    """The sentences without closing marks, and whether a stop closes each."""
+    out, start = [], 0
+    for i, t in enumerate(tokens):
+        if is_stop(t):
+            if i > start:
+                out.append((tokens[start:i], True))
+            start = i + 1
+    if start < len(tokens):
+        out.append((tokens[start:], False))
+    return out
+
+
+def enough_words(tokens: list[str]) -> bool:
+    return len(tokens) >= SHINGLE and sum(t[0].isalnum() for t in tokens) >= SHINGLE
+
+
+def class_of(symbols: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest("\0".join(symbols))
+
+
 def repeats(plain: list[str], asked: list[str]) -> bool:
     """Whether the words are the question's, in whatever order, once or more."""
     a, b = Counter(plain), Counter(asked)
@@ -203,21 +274,23 @@ def place_endings(texts: list[tuple[str, list[str]]], wanted: np.ndarray | None
     return distinct, np.bincount(where, weights=np.concatenate(flags), minlength=len(distinct)).astype(np.int64), total, whole
 
 
-#: Bits of the filter of wanted contexts: a fixed size, whatever the data.
-FILTER_BITS = 24
+#: The filter of wanted contexts has 8 bits for each, but 2 ** 29 (64 MB) at most.
+MOST_BITS = 29
 
 
 def in_filter(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Whether the filter has the hashes; false hits cost a row that a join drops."""
-    bit = h.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    bit = h.view(np.uint64) >> np.uint64(64 - 6 - (len(words).bit_length() - 1))
     return (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
 def wanted_filter(sides: DataFrame) -> np.ndarray:
-    """Bit filter of all closing contexts, made by a distributed bitwise or (at most 2 MB)."""
-    keys = sides.where(F.col("side") != "question").select(F.explode("keys").alias("key")).select(F.shiftrightunsigned("key", 64 - FILTER_BITS).alias("bit"))
-    masks = keys.select(F.shiftright("bit", 6).alias("w"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("m"))
-    words = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    """Bit filter of all closing contexts, made by a distributed bitwise or."""
+    keys = sides.where(F.col("side") != "question").select(F.explode("keys").alias("key"))
+    many = keys.agg(F.approx_count_distinct("key")).first()[0]
+    bits = min(max((8 * many).bit_length(), 12), MOST_BITS)
+    masks = keys.select(F.shiftrightunsigned("key", 64 - bits).alias("bit")).select(F.shiftright("bit", 6).alias("w"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("m"))
+    words = np.zeros(1 << (bits - 6), np.uint64)
     found = masks.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     words[found.column("w").to_numpy()] = found.column("m").to_numpy().view(np.uint64)
     return words
@@ -238,8 +311,6 @@ def sides_of(records: DataFrame, rules: Callable[[str | None, str], list[str]] |
             for r in frame.itertuples(index=False):
                 for side in ("question", "gold", "prediction"):
                     out.append(prepare(r.pq_id, side, r.run_name, None if side == "question" else r.question, getattr(r, side), rules))
-            for row, bands in zip(out, band_keys([row[-1] for row in out])):
-                row[-1] = bands
             yield pd.DataFrame(out, columns=names)
 
     return latest.select("pq_id", *[f"r.{c}" for c in cols]).mapInPandas(run, SIDES)
@@ -265,55 +336,89 @@ def ending_counts(sides: DataFrame) -> tuple[DataFrame, DataFrame]:
     return summed.where(F.col("word").isNull()).select("key", "ends", "total"), summed.where(F.col("word").isNotNull()).select("word")
 
 
-def goes_on(a: list[str], b: list[str]) -> bool:
-    """Aligned on its last whole words, ``b`` goes on inside the sentence where ``a`` ends."""
-    a = [t.lower() for t in a if t[0].isalnum()]
-    low = [t.lower() for t in b]
-    at = [i for i, t in enumerate(low) if t[0].isalnum()]
-    plain = [low[i] for i in at]
+def meets(a: list[str], b: list[str]) -> int:
+    """How near-copy ``b`` stands where ``a`` ends: 1 goes on inside the sentence, -1 ends too, 0 no alignment.
+
+    ``a`` and ``b``: symbols. ``b`` must contain 0.8 of the shingles of ``a``, whose last word may be a stump.
+    """
+    a = [t for t in a if is_word(t)]
+    at = [i for i, t in enumerate(b) if is_word(t)]
+    plain = [b[i] for i in at]
     one, two = shingles(a), shingles(plain)
-    if not one or len(one & two) < ALIKE * len(one | two):
-        return False
-    for tail in (a[-4:], a[-5:-1]):  # the last word may be a stump
+    if not one or len(one & two) < ALIKE * len(one) and len((less := shingles(a[:-1])) & two) < ALIKE * max(len(less), 1):
+        return 0
+    for tail in (a[-4:], a[-5:-1]):
         for j in range(len(plain) - len(tail), -1, -1):
             if plain[j : j + len(tail)] != tail:
                 continue
             end = j + len(tail)
-            if tail is not a and a[-1] != tail[-1]:
+            if a[-1] != tail[-1]:
                 if end < len(plain) and plain[end].startswith(a[-1]) and plain[end] != a[-1]:
-                    return True
+                    return 1
                 continue
-            return end < len(plain) and not is_stop(low[at[end - 1] + 1])
-    return False
+            return 1 if end < len(plain) and not is_stop(b[at[end - 1] + 1]) else -1
+    return 0
 
 
-def continued_copies(sides: DataFrame) -> DataFrame:
-    """(pq_id, side) of open-ended texts with a near-copy that goes on."""
-    opened = ~F.col("stop") | F.col("marked")
-    texts = sides.where((F.col("side") != "question") & (F.size("bands") > 0)).withColumn("class", F.md5("content"))
-    classes = texts.groupBy("class").agg(F.any_value("words").alias("words"), F.any_value("bands").alias("bands"), F.max(opened).alias("open"))
+def goes_on(a: list[str], b: list[str]) -> bool:
+    """Whether text ``b`` (tokens) is a near-copy that goes on inside the sentence where ``a`` ends."""
+    return meets(masked(a), masked(b)) > 0
+
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def sentence_classes(sides: DataFrame) -> DataFrame:
+    """class, words, open (a text ends with it openly), n (how often), whole (closed by a stop or a gold's end), for five words or more."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(n=[len(shingles([t.lower() for t in w if t[0].isalnum()])) for w in frame["words"]])
-
-    classes = stash(classes.mapInPandas(count, "class string, words array<string>, bands array<bigint>, open boolean, n int"), "classes")
-    # texts alike to ALIKE differ by that factor in shingles at most, so by one window
-    window = F.floor(F.log("n") / -math.log(ALIKE))
-    banded = classes.select("class", "open", "n", window.alias("window"), F.explode("bands").alias("band"))
-    asked = banded.where("open").select(F.col("class").alias("a"), F.col("n").alias("m"), "band", F.explode(F.array(*[F.col("window") + i for i in (-1, 0, 1)])).alias("window"))
-    held = banded.select(F.col("class").alias("b"), "n", "band", "window")
-    near = (F.col("a") != F.col("b")) & (F.least("m", "n") >= ALIKE * F.greatest("m", "n"))
-    pairs = asked.join(held, ["band", "window"]).where(near).select("a", "b").distinct()
-    pairs = pairs.join(classes.select(F.col("class").alias("a"), F.col("words").alias("mine")), "a").join(classes.select(F.col("class").alias("b"), F.col("words").alias("other")), "b")
+            found: dict[bytes, list] = {}
+            for side, tokens, stop, marked in zip(frame["side"], frame["words"], frame["stop"], frame["marked"]):
+                parts = sentences_of(list(tokens))
+                for i, (sentence, closed) in enumerate(parts):
+                    if not enough_words(sentence):
+                        continue
+                    last = i == len(parts) - 1
+                    row = found.setdefault(class_of(masked(sentence)), [sentence, False, 0, 0])
+                    row[1] |= last and (not stop or marked)
+                    row[2] += 1
+                    row[3] += closed or last and side == "gold" and not marked
+            yield pd.DataFrame([(k, *v) for k, v in found.items()], columns=["class", "words", "open", "n", "whole"])
+
+    counted = sides.where(F.col("side") != "question").select("side", "words", "stop", "marked").mapInPandas(run, "class binary, words array<string>, open boolean, n bigint, whole bigint")
+    return counted.groupBy("class").agg(F.any_value("words").alias("words"), F.max("open").alias("open"), F.sum("n").alias("n"), F.sum("whole").alias("whole"))
+
+
+def copy_pairs(classes: DataFrame) -> DataFrame:
+    """a, b: open classes and others that share a band of a prefix. ``classes``: class, open, bands."""
+    asked = classes.where("open").select(F.col("class").alias("a"), F.explode(F.slice("bands", -BANDS, BANDS)).alias("band"))
+    held = classes.select(F.col("class").alias("b"), F.explode("bands").alias("band"))
+    return asked.join(held, "band").where(F.col("a") != F.col("b")).select("a", "b").distinct()
+
+
+def continued_copies(sides: DataFrame) -> DataFrame:
+    """(pq_id, side, on, over) of open-ended texts: in how many near-copies the sentence goes on, in how many it ends."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            keep = [goes_on(list(a), list(b)) for a, b in zip(frame["mine"], frame["other"])]
-            yield frame.loc[keep, ["a"]].rename(columns={"a": "class"})
+            symbols = [masked(list(w)) for w in frame["words"]]
+            bands = band_keys([[t for t in x if is_word(t)] for x in symbols])
+            yield frame[["class", "open", "n", "whole"]].assign(symbols=symbols, bands=bands)
+
+    classes = sentence_classes(sides).mapInPandas(run, "class binary, open boolean, n bigint, whole bigint, symbols array<string>, bands array<bigint>")
+    classes = stash(classes, "classes")
+    pairs = copy_pairs(classes.select("class", "open", "bands"))
+    pairs = pairs.join(classes.select(F.col("class").alias("a"), F.col("symbols").alias("mine")), "a").join(classes.select(F.col("class").alias("b"), "n", "whole", F.col("symbols").alias("other")), "b")
+
+    def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            met = [meets(list(a), list(b)) for a, b in zip(frame["mine"], frame["other"])]
+            yield frame[["a"]].assign(on=frame["n"].where(np.array(met) > 0, 0), over=frame["whole"].where(np.array(met) < 0, 0))
 
-    found = pairs.select("a", "mine", "other").mapInPandas(run, "class string").distinct()
-    return texts.where(opened).join(found, "class", "left_semi").select("pq_id", "side").distinct()
+    met = pairs.select("a", "n", "whole", "mine", "other").mapInPandas(align, "a binary, on bigint, over bigint")
+    found = met.groupBy(F.col("a").alias("class")).agg(F.sum("on").alias("on"), F.sum("over").alias("over")).where("on > 0")
+    found = found.join(classes.select("class", "whole"), "class")
+    opened = sides.where((F.col("side") != "question") & (~F.col("stop") | F.col("marked"))).select("pq_id", "side", "marked", "class")
+    own = F.when(F.col("side") == "gold", (~F.col("marked")).cast("int")).otherwise(0)  # the text itself is no evidence
+    return opened.join(found, "class").select("pq_id", "side", "on", (F.col("over") + F.col("whole") - own).alias("over"))
 
 
 def closing_scores(sides: DataFrame) -> DataFrame:
@@ -364,8 +469,8 @@ def closing_scores(sides: DataFrame) -> DataFrame:
 
 def find_cut(sides: DataFrame) -> DataFrame:
     """pq_id, side, run_name, cut, why for golds and predictions of prepared ``sides``."""
-    copies = continued_copies(sides).withColumn("continued", F.lit(True))
-    judged = closing_scores(sides).join(copies, ["pq_id", "side"], "left")
-    why: Column = F.when(F.col("continued"), F.lit("a copy goes on")).otherwise(F.col("why"))
+    judged = closing_scores(sides).join(continued_copies(sides), ["pq_id", "side"], "left")
+    ends = F.col("over") / (F.col("on") + F.col("over"))
+    why: Column = F.when(ends < LEAST_COPIES, F.lit("a copy goes on")).otherwise(F.col("why"))
     why = F.when(~F.col("copied") & ~F.col("empty"), why)
     return judged.select("pq_id", "side", "run_name", why.isNotNull().alias("cut"), why.alias("why"))

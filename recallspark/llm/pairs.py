@@ -101,24 +101,43 @@ def is_refusal(content: str) -> bool:
     return all(POLITE.search(s) or REFUSAL.match(s) for s in rest)
 
 
-def language_scores(text: str) -> dict[str, float]:
-    """Weight of telling words and letters by language; what languages share counts less."""
-    scores = dict.fromkeys(_LANGUAGES, 0.0)
-    for w in words(text):
-        low = w.lower()
+class _Weights(dict):
+    """Weight of a lower-case word for each language, as (number of the language, weight)."""
+
+    def __missing__(self, low: str) -> tuple[tuple[int, float], ...]:
+        if len(self) > 200_000:
+            self.clear()
+        found: dict[int, float] = {}
         for part in {low, *re.split(r"['’]", low)[-1:]}:
             for la in _TELLING.get(part, ()):
-                scores[la] += 1 / len(_TELLING[part])
+                n = _LANGUAGES.index(la)
+                found[n] = found.get(n, 0) + 1 / len(_TELLING[part])
         for la, letters in TELLING_LETTERS.items():
             if any(c in letters for c in low):
-                scores[la] += 0.5
-    return scores
+                n = _LANGUAGES.index(la)
+                found[n] = found.get(n, 0) + 0.5
+        weights = self[low] = tuple(found.items())
+        return weights
+
+
+_WEIGHTS = _Weights()
+
+
+def language_scores(text: str) -> dict[str, float]:
+    """Weight of telling words and letters by language; what languages share counts less."""
+    scores = [0.0] * len(_LANGUAGES)
+    for w in words(text):
+        for n, x in _WEIGHTS[w.lower()]:
+            scores[n] += x
+    return dict(zip(_LANGUAGES, scores))
 
 
 def foreign_script(text: str) -> float:
     """Share of letters that are not Latin."""
+    if text.isascii():
+        return 0.0
     letters = [c for c in text if c.isalpha()]
-    return sum(not unicodedata.name(c, "").startswith("LATIN") for c in letters) / len(letters) if letters else 0.0
+    return sum(ord(c) > 0x24F and not unicodedata.name(c, "").startswith("LATIN") for c in letters) / len(letters) if letters else 0.0
 
 
 def question_language(question: str) -> str | None:
