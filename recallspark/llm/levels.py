@@ -15,6 +15,9 @@ then share them according to the lists so far, since a document holds sentences
 other levels too. Each round is a distributed pass; only the lists, bounded by the
 rated texts, come to the driver. Document frequencies and scoring cover all texts.
 
+Cleaning and tokenising run on the JVM, once (``bodies``); Python sees lower-case
+words and looks them up for a whole batch at a time.
+
 Layout does not count: markup, speaker labels, log lines, headings and bracketed
 references are dropped first; runs without punctuation are read in windows of 25
 words; case is ignored.
@@ -29,12 +32,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.llm.pairs import FUNCTION_WORDS
@@ -79,6 +82,31 @@ def sentences(text: str) -> list[list[str]]:
     return out
 
 
+#: Java's spelling of the patterns above: Unicode classes, and \\n as the only end of a line.
+_JAVA = "(?Ud)"
+_JAVA_WORD = r"(\p{L}+(?:['’-]\p{L}+)*)"
+
+
+def bodies(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``body`` for ``text``: lower-case words, one line a sentence, as ``sentences`` gives them."""
+    lines = F.filter(F.split("text", "\n"), lambda x: ~x.rlike(_JAVA + NOISE.pattern))
+    bare = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, _JAVA + MARKUP.pattern, " "), _JAVA + LABEL.pattern, ""), _JAVA + ASIDE.pattern, " "))
+    parts = F.split(F.translate(F.lower(F.array_join(bare, "\n")), "’", "'"), _JAVA + BREAK.pattern)
+    found = F.filter(F.transform(parts, lambda x: F.regexp_extract_all(x, F.lit(_JAVA_WORD), F.lit(1))), lambda x: F.size(x) > 0)
+
+    def windows(x: Column) -> Column:
+        n = F.size(x)
+        many = F.greatest(F.lit(1), F.floor((n + WINDOW - 5) / WINDOW).cast("int"))  # a rest under five words joins the window before
+        return F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.array_join(F.slice(x, i * WINDOW + 1, F.when(i == many - 1, n).otherwise(F.lit(WINDOW))), " "))
+
+    kept = [c for c in docs.columns if c != "text"]
+    return docs.select(*kept, F.array_join(F.flatten(F.transform(found, windows)), "\n").alias("body"))
+
+
+def parts_of(body: str) -> list[list[str]]:
+    return [line.split(" ") for line in body.split("\n")] if body else []
+
+
 def language_of(parts: list[list[str]]) -> str:
     scores = dict.fromkeys(FUNCTION_WORDS, 0.0)
     for w, n in Counter(w for part in parts for w in part).items():
@@ -87,6 +115,26 @@ def language_of(parts: list[list[str]]) -> str:
     return max(scores, key=scores.get)
 
 
+class _Weights(dict):
+    """Each telling word's weight for the languages; None for other words."""
+
+    def __missing__(self, w: str) -> None:
+        return None
+
+
+_WEIGHTS = _Weights({w: np.array([(la in own) / len(own) for la in FUNCTION_WORDS]) for w, own in _TELLING.items()})
+_NAMES = list(FUNCTION_WORDS)
+
+
+def languages(found) -> list[str]:
+    """``language_of`` for each body."""
+    out = []
+    for body in found:
+        told = [x for w in body.split() if (x := _WEIGHTS[w]) is not None]
+        out.append(_NAMES[int(np.argmax(np.round(np.sum(told, axis=0), 9)))] if told else _NAMES[0])
+    return out
+
+
 def enough(text: DataFrame) -> DataFrame:
     """Rows whose text has at least ``LEAST_RUNS`` runs, tested on the JVM."""
     runs = F.size(F.filter(F.split("text", r"[ \t\n\r]+"), lambda x: x != ""))
@@ -96,25 +144,23 @@ def enough(text: DataFrame) -> DataFrame:
 # The formula -----------------------------------------------------------------
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """lang, word, docs: in how many texts of its language a word occurs; the empty word counts texts."""
+def document_frequencies(texts: DataFrame) -> DataFrame:
+    """lang, word, docs: in how many ``bodies`` of its language a word occurs; the empty word counts texts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = Counter()
-            for text in frame["text"]:
-                parts = sentences(text)
-                la = language_of(parts)
-                found.update((la, w) for w in {"", *(w for part in parts for w in part)})
-            yield pd.DataFrame([(la, w, n) for (la, w), n in found.items()], columns=["lang", "word", "docs"])
-
-    counted = docs.select("text").mapInPandas(run, "lang string, word string, docs bigint")
+            found = defaultdict(Counter)
+            for body, la in zip(frame["body"], languages(frame["body"])):
+                found[la].update({"", *body.split()})
+            yield pd.DataFrame([(la, w, n) for la, c in found.items() for w, n in c.items()], columns=["lang", "word", "docs"])
+
+    counted = texts.select("body").mapInPandas(run, "lang string, word string, docs bigint")
     return counted.groupBy("lang", "word").agg(F.sum("docs").alias("docs"))
 
 
-def familiar_words(docs: DataFrame, least: float = 0.02, most: int = 5000) -> dict[str, set[str]]:
+def familiar_words(texts: DataFrame, least: float = 0.02, most: int = 5000) -> dict[str, set[str]]:
     """Per language the words that at least ``least`` of its texts contain, ``most`` at most."""
-    counts = stash(document_frequencies(docs), "frequencies")
+    counts = stash(document_frequencies(texts), "frequencies")
     of = counts.where(F.col("word") == "").select("lang", F.col("docs").alias("all"))
     w = Window.partitionBy("lang").orderBy(F.desc("docs"), "word")
     listed = counts.join(of, "lang").where((F.col("word") != "") & (F.col("docs") >= F.col("all") * least))
@@ -139,15 +185,15 @@ def formula_parts(parts: list[list[str]], lists: dict[str, set[str]]) -> tuple[f
 
 def familiar_word_scores(docs: DataFrame, least: float = 0.02) -> DataFrame:
     """doc_id, unfamiliar_share, sentence_length, score by the familiar-word formula."""
-    texts = enough(docs)
+    texts = stash(bodies(enough(docs).select("doc_id", "text")), "bodies")
     shared = docs.sparkSession.sparkContext.broadcast(familiar_words(texts, least))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [formula_parts(sentences(t), shared.value) for t in frame["text"]]
+            rows = [formula_parts(parts_of(t), shared.value) for t in frame["body"]]
             yield frame[["doc_id"]].assign(**{c: [r[i] for r in rows] for i, c in enumerate(("unfamiliar_share", "sentence_length", "score"))})
 
-    return texts.select("doc_id", "text").mapInPandas(run, "doc_id bigint, unfamiliar_share double, sentence_length double, score double")
+    return texts.mapInPandas(run, "doc_id bigint, unfamiliar_share double, sentence_length double, score double")
 
 
 # Graded lists ----------------------------------------------------------------
@@ -170,6 +216,37 @@ class Lists:
         at = [i for w in set(part) if (i := index.get(w)) is not None]
         return (table[at].sum(0) if at else np.zeros(LEVELS)), sum(w in index for w in part)
 
+    def levels(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each body the share of its words at each level (bodies x levels), and the share that the lists know."""
+        held, known = np.zeros((len(found), LEVELS)), np.zeros(len(found))
+        by: dict[str, list[int]] = {}
+        for i, la in enumerate(languages(found)):
+            by.setdefault(la, []).append(i)
+        for la, rows in by.items():
+            index, table = self.of.get(la, ({}, np.zeros((0, LEVELS))))
+            table = np.vstack([table, np.zeros((1, LEVELS))])
+            get, none = index.get, len(table) - 1
+            for at in range(0, len(rows), 256):
+                some = rows[at : at + 256]
+                lines = [line.split(" ") for i in some for line in found[i].split("\n")]
+                of = np.repeat(np.arange(len(some)), [found[i].count("\n") + 1 for i in some])
+                size = np.array([len(x) for x in lines])
+                word = np.fromiter((get(w, none) for x in lines for w in x), np.int64, size.sum())
+                line = np.repeat(np.arange(len(lines)), size)
+                once = np.unique(line * len(table) + word)
+                log = np.zeros((len(lines), LEVELS))
+                starts = np.searchsorted(once, np.arange(len(lines)) * len(table))
+                log[:] = np.add.reduceat(table[once % len(table)], starts, axis=0)
+                e = np.exp(log - log.max(1, keepdims=True))
+                share = e / e.sum(1, keepdims=True) * size[:, None]
+                total = np.bincount(of, size, len(some))
+                for k in range(LEVELS):
+                    held[some, k] = np.bincount(of, share[:, k], len(some)) / total
+                known[some] = np.bincount(of[line], word != none, len(some)) / total
+        empty = [i for i, body in enumerate(found) if not body]
+        held[empty], known[empty] = 0, 0
+        return held, known
+
 
 def share_out(log: np.ndarray) -> np.ndarray:
     e = np.exp(log - log.max())
@@ -185,7 +262,7 @@ def prior_of(votes: np.ndarray) -> np.ndarray:
 
 
 def rated_texts(docs: DataFrame, labels: DataFrame, max_rated: int) -> DataFrame:
-    """doc_id, text, v1..v5 (votes) of at most about ``max_rated`` rated documents."""
+    """doc_id, body, v1..v5 (votes) of at most about ``max_rated`` rated documents."""
     votes = labels.where(F.col("level").between(1, LEVELS) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         *[F.sum((F.col("level") == k).cast("int")).cast("double").alias(f"v{k}") for k in range(1, LEVELS + 1)]
     )
@@ -193,7 +270,7 @@ def rated_texts(docs: DataFrame, labels: DataFrame, max_rated: int) -> DataFrame
     many = votes.count()
     if many > max_rated:
         votes = votes.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * max_rated / many))
-    return docs.select("doc_id", "text").join(votes, "doc_id")
+    return docs.select("doc_id", "body").join(votes, "doc_id")
 
 
 def fit_lists(rated: DataFrame, rounds: int = 3) -> Lists:
@@ -207,8 +284,8 @@ def fit_lists(rated: DataFrame, rounds: int = 3) -> Lists:
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 counts: dict[tuple[str, str], np.ndarray] = {}
-                for text, votes in zip(frame["text"], frame[names].to_numpy(float)):
-                    parts = sentences(text)
+                for text, votes in zip(frame["body"], frame[names].to_numpy(float)):
+                    parts = parts_of(text)
                     la = language_of(parts)
                     prior = np.log(prior_of(votes))
                     for part in parts:
@@ -227,17 +304,6 @@ def fit_lists(rated: DataFrame, rounds: int = 3) -> Lists:
     return lists
 
 
-def level_of(parts: list[list[str]], lists: Lists) -> tuple[np.ndarray, float]:
-    """Share of the words at each level, and of the words that the lists know."""
-    la = language_of(parts)
-    held, known, total = np.zeros(LEVELS), 0, 0
-    for part in parts:
-        log, some = lists.score(la, part)
-        held += share_out(log) * len(part)
-        known, total = known + some, total + len(part)
-    return held / max(total, 1), known / max(total, 1)
-
-
 def calibrate(rated: DataFrame, lists: dict[str, set[str]]) -> np.ndarray:
     """Level = a + b * share + c * length by ridge regression on the ratings; ``lists`` are the familiar words."""
     shared = rated.sparkSession.sparkContext.broadcast(lists)
@@ -245,7 +311,7 @@ def calibrate(rated: DataFrame, lists: dict[str, set[str]]) -> np.ndarray:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            x = np.array([[1.0, *formula_parts(sentences(t), shared.value)[:2]] for t in frame["text"]]).reshape(-1, 3)
+            x = np.array([[1.0, *formula_parts(parts_of(t), shared.value)[:2]] for t in frame["body"]]).reshape(-1, 3)
             v = frame[names].to_numpy(float)
             y = v @ np.arange(1, LEVELS + 1) / v.sum(1)
             sums = [*(x.T @ x).ravel(), *(x.T @ y)]
@@ -260,7 +326,7 @@ def calibrate(rated: DataFrame, lists: dict[str, set[str]]) -> np.ndarray:
 def reading_levels(docs: DataFrame, labels: DataFrame, max_rated: int = 8000, least: float = 0.02) -> DataFrame:
     """doc_id, source, level, share (of the words at that level), known (share of words listed)."""
     spark = docs.sparkSession
-    texts = enough(docs)
+    texts = stash(bodies(enough(docs).select("doc_id", "source", "text")), "bodies")
     rated = stash(rated_texts(texts, labels, max_rated), "rated")
     familiar = familiar_words(texts, least)
     model = (fit_lists(rated), familiar, calibrate(rated, familiar))
@@ -269,15 +335,12 @@ def reading_levels(docs: DataFrame, labels: DataFrame, max_rated: int = 8000, le
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lists, familiar, weights = shared.value
         for frame in frames:
-            rows = []
-            for text in frame["text"]:
-                parts = sentences(text)
-                held, known = level_of(parts, lists)
-                level = int(np.argmax(held)) + 1
-                if known < 1 / 3:
-                    estimate = float(np.dot(weights, [1.0, *formula_parts(parts, familiar)[:2]])) if parts else 1.0
-                    level = int(min(max(math.floor(estimate + 0.5), 1), LEVELS))
-                rows.append((level, float(held[level - 1]), known))
-            yield frame[["doc_id", "source"]].assign(level=[r[0] for r in rows], share=[r[1] for r in rows], known=[r[2] for r in rows])
-
-    return texts.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, level int, share double, known double")
+            found = frame["body"].tolist()
+            held, known = lists.levels(found)
+            level = held.argmax(1) + 1
+            for i in np.flatnonzero(known < 1 / 3):
+                estimate = float(np.dot(weights, [1.0, *formula_parts(parts_of(found[i]), familiar)[:2]])) if found[i] else 1.0
+                level[i] = min(max(math.floor(estimate + 0.5), 1), LEVELS)
+            yield frame[["doc_id", "source"]].assign(level=level, share=held[np.arange(len(held)), level - 1], known=known)
+
+    return texts.mapInPandas(run, "doc_id bigint, source string, level int, share double, known double")

@@ -9,10 +9,15 @@ exact cosine in double precision of the stored vectors.
 
 Scale. Cells near each other form shards of about ``shard_rows`` rows, so a query
 travels once per shard it probes (about 1.05 times on clustered data), not once
-per cell. Shards expected to be larger are cut into blocks by hash, with the
-queries sent to each block, so no task holds an unbounded group. Models are
-bounded by ``max_cells`` and fitted on at most ``max_cells * train_per_cell`` rows;
-everything else covers all rows.
+per cell. A shard that one dense cell makes larger is cut into blocks by hash, with
+its queries sent to each block, so no task holds an unbounded group. A model has at
+most ``max_cells`` cells and is fitted on at most ``max_cells * train_per_cell`` rows
+(131,072, 50 MB). A collection of more than ``max_cells * rows_per_cell`` rows is
+first divided into regions of that size by coarser centroids; each region's model is
+fitted on its own sample in a task of its own and joined to blocks of the region's
+rows, and a query probes further regions by the same margin as further cells. So
+the number of cells grows with the rows, and neither the rows a query meets nor the
+times it travels do. Everything but fitting covers all rows.
 
 Hot copies. A vector stored more than ``max_copies`` times would make one cell
 hold all its copies. Of such a class ``k + 1`` members take part in the search
@@ -28,8 +33,10 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -144,61 +151,150 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-ROUTED = "kind int, shard int, block int, id string, vec binary, home int, code binary, cells binary"
+ROUTED = "kind int, region int, shard int, block int, id string, vec binary, home int, code binary, cells binary"
+ROUTED_SCHEMA = pa.schema(
+    [("kind", pa.int32()), ("region", pa.int32()), ("shard", pa.int32()), ("block", pa.int32()), ("id", pa.string()), ("vec", pa.binary()), ("home", pa.int32()), ("code", pa.binary()), ("cells", pa.binary())]
+)
 FOUND = "kind int, id string, near array<struct<far:double,id:string>>"
 
 
+def probed(u: np.ndarray, centroids: np.ndarray, cfg: Config, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best centroids of each unit vector, best first, and which of them are near enough to probe."""
+    probes = min(cfg.max_probes, len(centroids))
+    score = u @ centroids.T - 0.5 * (centroids**2).sum(1)
+    top = np.argpartition(-score, probes - 1, axis=1)[:, :probes]
+    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1)
+    best = np.take_along_axis(score, top, 1)
+    use = best >= best[:, :1] - cfg.probe_margin
+    use[:, :least] = True
+    return top, use
+
+
+def routed_rows(kind: int, region: int, model: Model, ids: list[str], x: np.ndarray, stored: np.ndarray, cfg: Config) -> pa.RecordBatch:
+    """A row for each shard and block that a vector must visit; ``stored``: whether the region holds it or only asks."""
+    u = unit(x).astype(np.float32)
+    top, use = probed(u, model.centroids, cfg, cfg.min_probes)
+    home, width = top[:, 0], cfg.dim // cfg.subspaces
+    residual = u - model.centroids[home]
+    code = np.empty((len(u), cfg.subspaces), np.uint8)
+    for m, book in enumerate(model.books):
+        code[:, m] = nearest(residual[:, m * width : (m + 1) * width], book)
+    shards = model.shard[top]
+    out: dict[str, list] = {c: [] for c in ROUTED_SCHEMA.names[2:]}
+    for i, name in enumerate(ids):
+        mine = top[i][use[i]]
+        where = shards[i][use[i]]
+        data, own = x[i].tobytes(), int(shards[i, 0])
+        block = hash_of(name) % int(model.blocks[own])
+        for s in dict.fromkeys(where.tolist()):
+            cells = mine[where == s].astype(np.int32).tobytes()
+            for b in range(int(model.blocks[s])):
+                held = bool(stored[i]) and s == own and b == block
+                out["shard"].append(s)
+                out["block"].append(b)
+                out["id"].append(name)
+                out["vec"].append(data)
+                out["home"].append(int(home[i]) if held else -1)
+                out["code"].append(code[i].tobytes() if held else b"")
+                out["cells"].append(cells)
+    fixed = [pa.array([k] * len(out["id"]), pa.int32()) for k in (kind, region)]
+    return pa.RecordBatch.from_arrays(fixed + [pa.array(out[c], ROUTED_SCHEMA.field(c).type) for c in out], schema=ROUTED_SCHEMA)
+
+
 def router(kind: int, shared, cfg: Config):
-    """Arrow batches of (id, embedding) to rows for each shard and block a vector must visit."""
+    """Arrow batches of (id, embedding) to ``ROUTED`` rows of the only region."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value[kind]
-        bias = 0.5 * (model.centroids**2).sum(1)
-        width, probes = cfg.dim // cfg.subspaces, min(cfg.max_probes, len(model.centroids))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                rows, x = usable_arrays(batch, cfg.dim)
+                if len(rows):
+                    ids = batch.column("id").take(pa.array(rows)).to_pylist()
+                    yield routed_rows(kind, 0, shared.value[kind], ids, x, np.ones(len(x), bool), cfg)
+
+    return route
+
+
+REGIONAL = "region int, salt int, stored boolean, id string, embedding array<float>"
+MODELS = "region int, salt int, model binary"
+PARTS = "region int, shard int, block int, part binary"
+SALT_ROWS = 65_536
+
+
+def regional_rows(df: DataFrame, regions: np.ndarray, salts: int, cfg: Config) -> DataFrame:
+    """Each usable vector at its region, and as a query at every further region it probes."""
+    shared = df.sparkSession.sparkContext.broadcast(regions)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
                 rows, x = usable_arrays(batch, cfg.dim)
                 if not len(rows):
                     continue
-                u = unit(x).astype(np.float32)
-                score = u @ model.centroids.T - bias
-                top = np.argpartition(-score, probes - 1, axis=1)[:, :probes]
-                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1)
-                best = np.take_along_axis(score, top, 1)
-                use = best >= best[:, :1] - cfg.probe_margin
-                use[:, : cfg.min_probes] = True
-                home = top[:, 0]
-                residual = u - model.centroids[home]
-                code = np.empty((len(u), cfg.subspaces), np.uint8)
-                for m, book in enumerate(model.books):
-                    code[:, m] = nearest(residual[:, m * width : (m + 1) * width], book)
-                ids = batch.column("id").take(pa.array(rows)).to_pylist()
-                shards = model.shard[top]
-                out: dict[str, list] = {c: [] for c in ("shard", "block", "id", "vec", "home", "code", "cells")}
-                for i, name in enumerate(ids):
-                    mine = top[i][use[i]]
-                    where = shards[i][use[i]]
-                    data, own = x[i].tobytes(), int(shards[i, 0])
-                    block = hash_of(name) % int(model.blocks[own])
-                    for s in dict.fromkeys(where.tolist()):
-                        cells = mine[where == s].astype(np.int32).tobytes()
-                        for b in range(int(model.blocks[s])):
-                            stored = s == own and b == block
-                            out["shard"].append(s)
-                            out["block"].append(b)
-                            out["id"].append(name)
-                            out["vec"].append(data)
-                            out["home"].append(int(home[i]) if stored else -1)
-                            out["code"].append(code[i].tobytes() if stored else b"")
-                            out["cells"].append(cells)
+                top, use = probed(unit(x).astype(np.float32), shared.value, cfg, 1)
+                who, place = np.nonzero(use)
+                ids = batch.column("id").take(pa.array(rows[who]))
+                salt = np.array([hash_of(i) % salts for i in ids.to_pylist()], np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind] * len(out["id"]), pa.int32())]
-                    + [pa.array(out[c], t) for c, t in (("shard", pa.int32()), ("block", pa.int32()), ("id", pa.string()), ("vec", pa.binary()), ("home", pa.int32()), ("code", pa.binary()), ("cells", pa.binary()))],
-                    names=["kind", "shard", "block", "id", "vec", "home", "code", "cells"],
+                    [pa.array(top[who, place].astype(np.int32)), pa.array(salt), pa.array(place == 0), ids, batch.column("embedding").take(pa.array(rows[who]))],
+                    names=["region", "salt", "stored", "id", "embedding"],
                 )
 
-    return route
+    return df.mapInArrow(send, REGIONAL)
+
+
+def regional_search(kind: int, df: DataFrame, rows: int, cfg: Config) -> tuple[DataFrame, DataFrame]:
+    """``ROUTED`` rows of a collection too large for one model, and the model's part of every shard and block."""
+    size = cfg.max_cells * cfg.rows_per_cell
+    many = -(-rows // size)
+    # Regions are a few thousand at most; past that, they grow.
+    many = min(many, cfg.max_cells)
+    sample = sample_vectors(df, rows, many * cfg.train_per_cell, cfg)
+    regions = kmeans(sample, many, 8, np.random.default_rng(cfg.seed)) if len(sample) else np.zeros((1, cfg.dim), np.float32)
+    salts = max(1, -(-rows // (many * SALT_ROWS)))
+    regional = stash(regional_rows(df, regions, salts, cfg), "regional")
+    chosen = F.pmod(F.xxhash64("id", F.lit(cfg.seed + 1)), F.lit(1_000_003)) < F.lit(1_000_003.0 * cfg.max_cells * cfg.train_per_cell) / F.col("held")
+    counts = regional.where("stored").groupBy("region").agg(F.count("*").alias("held"))
+    training = regional.where("stored").join(counts, "region").where(chosen).select("region", "held", "id", "embedding")
+
+    def fit_region(table: pa.Table) -> pa.Table:
+        x = unit(usable_arrays(table, cfg.dim)[1]).astype(np.float32)[: cfg.max_cells * cfg.train_per_cell]
+        model = fit(x, table.column("held")[0].as_py(), cfg)
+        n = range(salts)
+        return pa.table({"region": pa.array([table.column("region")[0].as_py()] * salts, pa.int32()), "salt": pa.array(list(n), pa.int32()), "model": pa.array([pickle.dumps(model)] * salts)})
+
+    models = stash(training.groupBy("region").applyInArrow(fit_region, MODELS), "models")
+
+    def route(vectors: pa.Table, model: pa.Table) -> pa.Table:
+        if not vectors.num_rows or not model.num_rows:  # a region without a sampled row holds next to none
+            return ROUTED_SCHEMA.empty_table()
+        rows, x = usable_arrays(vectors, cfg.dim)
+        of, ids = pickle.loads(model.column("model")[0].as_py()), vectors.column("id").to_pylist()
+        stored = vectors.column("stored").to_numpy(zero_copy_only=False)[rows]
+        parts = [
+            routed_rows(kind, vectors.column("region")[0].as_py(), of, [ids[j] for j in rows[at : at + 4096]], x[at : at + 4096], stored[at : at + 4096], cfg)
+            for at in range(0, len(rows), 4096)
+        ]
+        return pa.Table.from_batches(parts, ROUTED_SCHEMA)
+
+    routed = regional.groupBy("region", "salt").cogroup(models.groupBy("region", "salt")).applyInArrow(route, ROUTED)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for region, model in zip(batch.column("region").to_pylist(), batch.column("model").to_pylist()):
+                whole: Model = pickle.loads(model)
+                for s in range(len(whole.blocks)):
+                    cells = np.flatnonzero(whole.shard == s)
+                    part = pickle.dumps((whole.books, cells, whole.centroids[cells]))
+                    n = int(whole.blocks[s])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([region] * n, pa.int32()), pa.array([s] * n, pa.int32()), pa.array(list(range(n)), pa.int32()), pa.array([part] * n)],
+                        names=["region", "shard", "block", "part"],
+                    )
+
+    return routed, models.where("salt = 0").select("region", "model").mapInArrow(cut, PARTS)
 
 
 def hash_of(name: str) -> int:
@@ -208,76 +304,93 @@ def hash_of(name: str) -> int:
 
 
 def searcher(shared, cfg: Config):
-    """One shard's block: ADC over the probed cells, exact rerank, k best per query."""
+    """One shard's block with the kind's only model."""
 
     def search(table: pa.Table) -> pa.Table:
-        kind = table.column("kind")[0].as_py()
-        model: Model = shared.value[kind]
-        ids = np.array(table.column("id").to_pylist(), dtype=object)
-        vec = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float32).reshape(-1, cfg.dim)
-        home = table.column("home").to_numpy()
-        cells_of = table.column("cells").to_pylist()
-        code_of = table.column("code").to_pylist()
-        order = np.lexsort((-home, ids))  # a stored row before the query-only rows of its id
-        ids, vec, home = ids[order], vec[order], home[order]
-        first = np.r_[True, ids[1:] != ids[:-1]]
-        order, ids, vec, home = order[first], ids[first], vec[first], home[first]
-        u = unit(vec)
-        db = np.flatnonzero(home >= 0)
-        codes = np.frombuffer(b"".join(code_of[order[j]] for j in db), np.uint8).reshape(-1, cfg.subspaces)
-        by_cell = np.argsort(home[db], kind="stable")
-        cell_ids, starts = np.unique(home[db][by_cell], return_index=True)
-        ends = np.r_[starts[1:], len(db)]
-        probes = [np.frombuffer(cells_of[j], np.int32) for j in order]
-        asked = np.concatenate(probes) if probes else np.zeros(0, np.int32)
-        asker = np.repeat(np.arange(len(ids)), [len(p) for p in probes])
-        by_ask = np.argsort(asked, kind="stable")
-        asked, asker = asked[by_ask], asker[by_ask]
-        best = np.full((len(ids), cfg.k), -np.inf)
-        who = np.full((len(ids), cfg.k), -1, np.int64)
-        width = cfg.dim // cfg.subspaces
-        u32 = u.astype(np.float32)
-        for cell, lo, hi in zip(cell_ids, starts, ends):
-            members = db[by_cell[lo:hi]]
-            code = codes[by_cell[lo:hi]]
-            queries = asker[np.searchsorted(asked, cell) : np.searchsorted(asked, cell, "right")]
-            keep = min(cfg.shortlist, len(members))
-            for at in range(0, len(queries), 256):
-                q = queries[at : at + 256]
-                parts = u32[q].reshape(len(q), cfg.subspaces, width)
-                tables = np.einsum("mkd,qmd->mkq", model.books, parts, optimize=True)
-                score = np.repeat((u32[q] @ model.centroids[cell])[None, :], len(members), 0)
-                one = np.empty_like(score)
-                for m in range(cfg.subspaces):
-                    np.take(tables[m], code[:, m], axis=0, out=one, mode="clip")
-                    score += one
-                if keep < len(members):
-                    short = np.sort(np.argpartition(-score, keep - 1, axis=0)[:keep].T, axis=1)
-                else:
-                    short = np.broadcast_to(np.arange(len(members)), (len(q), len(members)))
-                found = members[short]
-                exact = np.matmul(u[found], u[q][:, :, None])[:, :, 0]
-                exact[found == q[:, None]] = -np.inf
-                all_sim = np.concatenate([best[q], exact], 1)
-                all_who = np.concatenate([who[q], found], 1)
-                pick = np.sort(np.argpartition(-all_sim, cfg.k - 1, axis=1)[:, : cfg.k], axis=1)
-                best[q] = np.take_along_axis(all_sim, pick, 1)
-                who[q] = np.take_along_axis(all_who, pick, 1)
-        some = np.isfinite(best)
-        asks = np.flatnonzero(some.any(1))
-        lengths = some[asks].sum(1)
-        offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
-        flat = some[asks]
-        near = pa.StructArray.from_arrays(
-            [pa.array(-best[asks][flat]), pa.array(ids[who[asks][flat]].tolist(), pa.string())], names=["far", "id"]
-        )
-        return pa.table(
-            {"kind": pa.array([kind] * len(asks), pa.int32()), "id": pa.array(ids[asks].tolist(), pa.string()), "near": pa.ListArray.from_arrays(offsets, near)}
-        )
+        model: Model = shared.value[table.column("kind")[0].as_py()]
+        return search_block(table, model.books, model.centroids, cfg)
+
+    return search
+
+
+def part_searcher(cfg: Config):
+    """One shard's block with its part of its region's model."""
+
+    def search(table: pa.Table, part: pa.Table) -> pa.Table:
+        if not table.num_rows or not part.num_rows:
+            return pa.schema([("kind", pa.int32()), ("id", pa.string()), ("near", pa.list_(pa.struct([("far", pa.float64()), ("id", pa.string())])))]).empty_table()
+        books, cells, centroids = pickle.loads(part.column("part")[0].as_py())
+        return search_block(table, books, dict(zip(cells.tolist(), centroids)), cfg)
 
     return search
 
 
+def search_block(table: pa.Table, books: np.ndarray, centroids, cfg: Config) -> pa.Table:
+    """ADC over the probed cells, exact rerank, k best per query. ``centroids``: by number of the cell."""
+    kind = table.column("kind")[0].as_py()
+    ids = np.array(table.column("id").to_pylist(), dtype=object)
+    vec = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float32).reshape(-1, cfg.dim)
+    home = table.column("home").to_numpy()
+    cells_of = table.column("cells").to_pylist()
+    code_of = table.column("code").to_pylist()
+    order = np.lexsort((-home, ids))  # a stored row before the query-only rows of its id
+    ids, vec, home = ids[order], vec[order], home[order]
+    first = np.r_[True, ids[1:] != ids[:-1]]
+    order, ids, vec, home = order[first], ids[first], vec[first], home[first]
+    u = unit(vec)
+    db = np.flatnonzero(home >= 0)
+    codes = np.frombuffer(b"".join(code_of[order[j]] for j in db), np.uint8).reshape(-1, cfg.subspaces)
+    by_cell = np.argsort(home[db], kind="stable")
+    cell_ids, starts = np.unique(home[db][by_cell], return_index=True)
+    ends = np.r_[starts[1:], len(db)]
+    probes = [np.frombuffer(cells_of[j], np.int32) for j in order]
+    asked = np.concatenate(probes) if probes else np.zeros(0, np.int32)
+    asker = np.repeat(np.arange(len(ids)), [len(p) for p in probes])
+    by_ask = np.argsort(asked, kind="stable")
+    asked, asker = asked[by_ask], asker[by_ask]
+    best = np.full((len(ids), cfg.k), -np.inf)
+    who = np.full((len(ids), cfg.k), -1, np.int64)
+    width = cfg.dim // cfg.subspaces
+    u32 = u.astype(np.float32)
+    for cell, lo, hi in zip(cell_ids, starts, ends):
+        members = db[by_cell[lo:hi]]
+        code = codes[by_cell[lo:hi]]
+        queries = asker[np.searchsorted(asked, cell) : np.searchsorted(asked, cell, "right")]
+        keep = min(cfg.shortlist, len(members))
+        for at in range(0, len(queries), 256):
+            q = queries[at : at + 256]
+            parts = u32[q].reshape(len(q), cfg.subspaces, width)
+            tables = np.einsum("mkd,qmd->mkq", books, parts, optimize=True)
+            score = np.repeat((u32[q] @ centroids[int(cell)])[None, :], len(members), 0)
+            one = np.empty_like(score)
+            for m in range(cfg.subspaces):
+                np.take(tables[m], code[:, m], axis=0, out=one, mode="clip")
+                score += one
+            if keep < len(members):
+                short = np.sort(np.argpartition(-score, keep - 1, axis=0)[:keep].T, axis=1)
+            else:
+                short = np.broadcast_to(np.arange(len(members)), (len(q), len(members)))
+            found = members[short]
+            exact = np.matmul(u[found], u[q][:, :, None])[:, :, 0]
+            exact[found == q[:, None]] = -np.inf
+            all_sim = np.concatenate([best[q], exact], 1)
+            all_who = np.concatenate([who[q], found], 1)
+            pick = np.sort(np.argpartition(-all_sim, cfg.k - 1, axis=1)[:, : cfg.k], axis=1)
+            best[q] = np.take_along_axis(all_sim, pick, 1)
+            who[q] = np.take_along_axis(all_who, pick, 1)
+    some = np.isfinite(best)
+    asks = np.flatnonzero(some.any(1))
+    lengths = some[asks].sum(1)
+    offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
+    flat = some[asks]
+    near = pa.StructArray.from_arrays(
+        [pa.array(-best[asks][flat]), pa.array(ids[who[asks][flat]].tolist(), pa.string())], names=["far", "id"]
+    )
+    return pa.table(
+        {"kind": pa.array([kind] * len(asks), pa.int32()), "id": pa.array(ids[asks].tolist(), pa.string()), "near": pa.ListArray.from_arrays(offsets, near)}
+    )
+
+
 def sample_vectors(df: DataFrame, rows: int, want: int, cfg: Config) -> np.ndarray:
     """At most ``want`` unit vectors, chosen by the hash of their id."""
     share = min(1.0, 1.05 * want / max(rows, 1))
@@ -310,17 +423,22 @@ def nearest_neighbours(collections: list[DataFrame], cfg: Config = Config()) ->
     tails = None
     if not hot.isEmpty():
         frames, tails = set_copies_apart(frames, hot, cfg)
-    models = []
-    for df, raw in zip(frames, collections):
-        rows = raw.count()
-        cells = int(np.clip(rows // cfg.rows_per_cell, 1, cfg.max_cells))
-        models.append(fit(sample_vectors(df, rows, cells * cfg.train_per_cell, cfg), rows, cfg))
-    shared = spark.sparkContext.broadcast(models)
-    routed = None
-    for k, df in enumerate(frames):
-        part = df.mapInArrow(router(k, shared, cfg), ROUTED)
-        routed = part if routed is None else routed.unionByName(part)
-    found = routed.groupBy("kind", "shard", "block").applyInArrow(searcher(shared, cfg), FOUND)
+    models, found = {}, []
+    sizes = [raw.count() for raw in collections]
+    small = [k for k, rows in enumerate(sizes) if rows <= cfg.max_cells * cfg.rows_per_cell]
+    for k in small:
+        cells = int(np.clip(sizes[k] // cfg.rows_per_cell, 1, cfg.max_cells))
+        models[k] = fit(sample_vectors(frames[k], sizes[k], cells * cfg.train_per_cell, cfg), sizes[k], cfg)
+    if small:
+        shared = spark.sparkContext.broadcast(models)
+        routed = reduce(DataFrame.unionByName, [frames[k].mapInArrow(router(k, shared, cfg), ROUTED) for k in small])
+        found.append(routed.groupBy("kind", "shard", "block").applyInArrow(searcher(shared, cfg), FOUND))
+    by = ["region", "shard", "block"]
+    for k in range(len(frames)):
+        if k not in models:
+            routed, parts = regional_search(k, frames[k], sizes[k], cfg)
+            found.append(routed.groupBy(*by).cogroup(parts.groupBy(*by)).applyInArrow(part_searcher(cfg), FOUND))
+    found = reduce(DataFrame.unionByName, found)
     merged = found.groupBy("kind", "id").agg(F.flatten(F.collect_list("near")).alias("near"))
     near = F.slice(F.array_sort(F.array_distinct("near")), 1, cfg.k)
     result = merged.select("kind", "id", near.alias("near"))

@@ -1,5 +1,7 @@
 """The vector search against brute force and on awkward rows."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +38,20 @@ def test_recall_against_brute_force(spark):
     assert exact == {i: truth[i] for i, _ in rows[:7]}
 
 
+def test_regions_give_the_same_lists(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 8))
+    rows = [(f"v{i:04d}", (centres[i % 12] + 0.3 * rng.normal(size=8)).astype("float32").tolist()) for i in range(900)]
+    truth = brute(rows, 5)
+    many = replace(SMALL, rows_per_cell=32, max_cells=8, train_per_cell=64)  # 256 rows a model: four regions
+    few = [(f"w{i}", rows[i][1]) for i in range(20)]  # beside a table that needs one model
+    lists = nearest_neighbours([frame(spark, rows + [("x", None), (None, rows[0][1])]), frame(spark, few)], many).collect()
+    got = {r.id: {n.id for n in r.near} for r in lists}
+    assert set(got) == set(truth) | {i for i, _ in few} and all(len(v) == 5 for v in got.values())
+    assert np.mean([len(got[i] & truth[i]) / 5 for i in truth]) >= 0.9
+    assert all(n[0] == i[0] for i, near in got.items() for n in near)
+
+
 def test_unusable_rows_and_small_tables(spark):
     nan, inf = float("nan"), float("inf")
     rows = [("a", [1.0] * 8), ("b", [2.0] * 8), ("c", None), ("d", [0.0] * 8), ("e", [nan] + [1.0] * 7), ("f", [inf] + [1.0] * 7), ("g", [1.0]), ("h", [None] + [1.0] * 7), (None, [1.0] * 8), ("i", [1e-30] * 8)]
