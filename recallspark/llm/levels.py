@@ -53,7 +53,7 @@ NOISE = re.compile(
 )
 LABEL = re.compile(r"^\s*(?:[-*>•]\s+)?(?:Speaker \w+ says:|\[\w+\]|[A-ZÀ-Ý]\w{1,15}:(?=\s))\s*")
 MARKUP = re.compile(r"<[^<>]{1,40}>|\*\*|`+|^\s*[-*>•]\s+")
-ASIDE = re.compile(r"\([^()]{0,25}\d[^()]{0,12}\)|\((?:etc\.? ?)+\)|\([^()]{0,12}\.[^()]{0,12}\)")
+ASIDE = re.compile(r"\((?:[^()]{0,25}\d[^()]{0,12}|(?:etc\.? ?)+|[^()]{0,12}\.[^()]{0,12})\)")
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 BREAK = re.compile(r"[.!?…。]+[\"')\]»”]*\s+|\n+")
 _TELLING = {w: [la for la in FUNCTION_WORDS if w in FUNCTION_WORDS[la].split()] for la in FUNCTION_WORDS for w in FUNCTION_WORDS[la].split()}
@@ -72,39 +72,37 @@ def sentences(text: str) -> list[list[str]]:
     """Lower-case words by sentence, long runs in windows."""
     out = []
     for part in BREAK.split(clean(text)):
-        found = [w.lower().replace("’", "'") for w in WORD.findall(part)]
-        for at in range(0, len(found), WINDOW):
-            piece = found[at : at + WINDOW]
-            if at and len(piece) < 5:
-                out[-1] = out[-1] + piece
-            else:
-                out.append(piece)
+        if found := [w.lower().replace("’", "'") for w in WORD.findall(part)]:
+            out += windows(found)
     return out
 
 
-#: Java's spelling of the patterns above: Unicode classes, and \\n as the only end of a line.
-_JAVA = "(?Ud)"
-_JAVA_WORD = r"(\p{L}+(?:['’-]\p{L}+)*)"
+#: The patterns above in Java's spelling for a whole text: Unicode classes, each line by itself.
+_JAVA = "(?Udm)"
+_PASSES = [(_JAVA + p.replace(r"\s", r"[^\S\n]").replace("[^()]", r"[^()\n]").replace("[^<>]", r"[^<>\n]"), to) for p, to in ((NOISE.pattern, ""), (MARKUP.pattern, " "), (LABEL.pattern, ""), (ASIDE.pattern, " "))]
 
 
 def bodies(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``body`` for ``text``: lower-case words, one line a sentence, as ``sentences`` gives them."""
-    lines = F.filter(F.split("text", "\n"), lambda x: ~x.rlike(_JAVA + NOISE.pattern))
-    bare = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, _JAVA + MARKUP.pattern, " "), _JAVA + LABEL.pattern, ""), _JAVA + ASIDE.pattern, " "))
-    parts = F.split(F.translate(F.lower(F.array_join(bare, "\n")), "’", "'"), _JAVA + BREAK.pattern)
-    found = F.filter(F.transform(parts, lambda x: F.regexp_extract_all(x, F.lit(_JAVA_WORD), F.lit(1))), lambda x: F.size(x) > 0)
+    """``docs`` with ``body`` for ``text``: lower-case words, one line a sentence; ``parts_of`` gives what ``sentences`` does."""
+    body = F.col("text")
+    for pattern, to in _PASSES:
+        body = F.regexp_replace(body, pattern, to)
+    body = F.regexp_replace(F.replace(F.lower(body), F.lit("’"), F.lit("'")), "(?Ud)" + BREAK.pattern, "\n")
+    body = F.regexp_replace(body, r"[^\p{L}'\n-]+", " ")
+    body = F.regexp_replace(body, r"['-](?:(?<!\p{L}['-])|(?!\p{L}))", " ")
+    return docs.select(*[c for c in docs.columns if c != "text"], body.alias("body"))
 
-    def windows(x: Column) -> Column:
-        n = F.size(x)
-        many = F.greatest(F.lit(1), F.floor((n + WINDOW - 5) / WINDOW).cast("int"))  # a rest under five words joins the window before
-        return F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.array_join(F.slice(x, i * WINDOW + 1, F.when(i == many - 1, n).otherwise(F.lit(WINDOW))), " "))
 
-    kept = [c for c in docs.columns if c != "text"]
-    return docs.select(*kept, F.array_join(F.flatten(F.transform(found, windows)), "\n").alias("body"))
+def windows(found: list[str]) -> list[list[str]]:
+    """A sentence in windows of ``WINDOW`` words; a rest under five joins the window before."""
+    if len(found) <= WINDOW:
+        return [found]
+    many = max(1, (len(found) + WINDOW - 5) // WINDOW)
+    return [found[i * WINDOW : (i + 1) * WINDOW if i < many - 1 else None] for i in range(many)]
 
 
 def parts_of(body: str) -> list[list[str]]:
-    return [line.split(" ") for line in body.split("\n")] if body else []
+    return [piece for line in body.split("\n") if (found := line.split()) for piece in windows(found)]
 
 
 def language_of(parts: list[list[str]]) -> str:
@@ -115,14 +113,7 @@ def language_of(parts: list[list[str]]) -> str:
     return max(scores, key=scores.get)
 
 
-class _Weights(dict):
-    """Each telling word's weight for the languages; None for other words."""
-
-    def __missing__(self, w: str) -> None:
-        return None
-
-
-_WEIGHTS = _Weights({w: np.array([(la in own) / len(own) for la in FUNCTION_WORDS]) for w, own in _TELLING.items()})
+_WEIGHTS = {w: np.array([(la in own) / len(own) for la in FUNCTION_WORDS]) for w, own in _TELLING.items()}
 _NAMES = list(FUNCTION_WORDS)
 
 
@@ -130,15 +121,15 @@ def languages(found) -> list[str]:
     """``language_of`` for each body."""
     out = []
     for body in found:
-        told = [x for w in body.split() if (x := _WEIGHTS[w]) is not None]
-        out.append(_NAMES[int(np.argmax(np.round(np.sum(told, axis=0), 9)))] if told else _NAMES[0])
+        told = Counter(w for w in body.split() if w in _WEIGHTS)
+        out.append(_NAMES[int(np.argmax(np.round(sum(n * _WEIGHTS[w] for w, n in told.items()), 9)))] if told else _NAMES[0])
     return out
 
 
 def enough(text: DataFrame) -> DataFrame:
-    """Rows whose text has at least ``LEAST_RUNS`` runs, tested on the JVM."""
-    runs = F.size(F.filter(F.split("text", r"[ \t\n\r]+"), lambda x: x != ""))
-    return text.where(F.col("text").isNotNull() & (runs >= LEAST_RUNS))
+    """Rows whose text has at least ``LEAST_RUNS`` runs, tested on the JVM; the test stops at the last of them."""
+    runs = rf"^[ \t\n\r]*+(?:[^ \t\n\r]++[ \t\n\r]++){{{LEAST_RUNS - 1}}}[^ \t\n\r]"
+    return text.where(F.col("text").rlike(runs))
 
 
 # The formula -----------------------------------------------------------------
@@ -228,8 +219,11 @@ class Lists:
             get, none = index.get, len(table) - 1
             for at in range(0, len(rows), 256):
                 some = rows[at : at + 256]
-                lines = [line.split(" ") for i in some for line in found[i].split("\n")]
-                of = np.repeat(np.arange(len(some)), [found[i].count("\n") + 1 for i in some])
+                parts = [parts_of(found[i]) for i in some]
+                lines = [line for part in parts for line in part]
+                if not lines:
+                    continue
+                of = np.repeat(np.arange(len(some)), [len(part) for part in parts])
                 size = np.array([len(x) for x in lines])
                 word = np.fromiter((get(w, none) for x in lines for w in x), np.int64, size.sum())
                 line = np.repeat(np.arange(len(lines)), size)
@@ -239,12 +233,10 @@ class Lists:
                 log[:] = np.add.reduceat(table[once % len(table)], starts, axis=0)
                 e = np.exp(log - log.max(1, keepdims=True))
                 share = e / e.sum(1, keepdims=True) * size[:, None]
-                total = np.bincount(of, size, len(some))
+                total = np.maximum(np.bincount(of, size, len(some)), 1)
                 for k in range(LEVELS):
                     held[some, k] = np.bincount(of, share[:, k], len(some)) / total
                 known[some] = np.bincount(of[line], word != none, len(some)) / total
-        empty = [i for i, body in enumerate(found) if not body]
-        held[empty], known[empty] = 0, 0
         return held, known
 
 
@@ -339,7 +331,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, max_rated: int = 8000, le
             held, known = lists.levels(found)
             level = held.argmax(1) + 1
             for i in np.flatnonzero(known < 1 / 3):
-                estimate = float(np.dot(weights, [1.0, *formula_parts(parts_of(found[i]), familiar)[:2]])) if found[i] else 1.0
+                estimate = float(np.dot(weights, [1.0, *formula_parts(parts, familiar)[:2]])) if (parts := parts_of(found[i])) else 1.0
                 level[i] = min(max(math.floor(estimate + 0.5), 1), LEVELS)
             yield frame[["doc_id", "source"]].assign(level=level, share=held[np.arange(len(held)), level - 1], known=known)
 
