@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 #: Marks left where a text was cut: they end nothing by themselves.
 CUT_MARKS = re.compile(r"(?:\s*(?:…|\.\.\.|\[\s*(?:…|\.\.\.)\s*\]|<\||&#?\w{0,6}|\\\w{0,5}|�+))+\s*$")
@@ -93,9 +94,10 @@ def unwrap(text: str | None) -> Content:
     return Content(s, unclosed, marked)
 
 
-def words(text: str) -> list[str]:
-    """Words and runs of punctuation, in order."""
-    return WORD.findall(text)
+@lru_cache(4096)
+def words(text: str) -> tuple[str, ...]:
+    """Words and runs of punctuation, in order; rules ask for the same text several times."""
+    return tuple(WORD.findall(text))
 
 
 def is_stop(token: str) -> bool:

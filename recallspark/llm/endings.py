@@ -181,7 +181,7 @@ def band_keys(texts: list[list[str]]) -> list[list[int]]:
 def prepare(pq_id: int, side: str, run: str | None, question: str | None, text: str | None, rules=None) -> list:
     """One side of a record as a row of ``SIDES``."""
     content = unwrap(text)
-    tokens = words(content.text)
+    tokens = list(words(content.text))
     plain = [t.lower() for t in tokens if t[0].isalnum()]
     end = len(tokens)
     stop = comma = False

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,6 +141,7 @@ def foreign_script(text: str) -> float:
     return sum(ord(c) > 0x24F and not unicodedata.name(c, "").startswith("LATIN") for c in letters) / len(letters) if letters else 0.0
 
 
+@lru_cache(4096)
 def question_language(question: str) -> str | None:
     lead = [w.lower() for w in words(question) if w[0].isalnum()]
     for w in lead:
