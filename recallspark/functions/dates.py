@@ -32,6 +32,22 @@ def parse_session_date(text: Column) -> Column:
     return F.when(iso != "", F.try_to_date(iso, "yyyy-MM-dd")).otherwise(F.when(day != "", spoken))
 
 
+def iso_day(text: Column) -> Column:
+    """The stamp's day as yyyy-MM-dd; a stamp that cannot be read stays as it is."""
+    return F.coalesce(F.date_format(parse_session_date(text), "yyyy-MM-dd"), text)
+
+
+def epoch_seconds(text: Column) -> Column:
+    """Seconds since 1970 of an ISO stamp (UTC if it names no zone), else NULL."""
+    iso = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
+    return F.when(text.rlike(iso), F.unix_micros(F.try_to_timestamp(text)) / 1e6)
+
+
+def in_windows(day: Column, windows: Column) -> Column:
+    """Whether the day lies in any of the windows (array of struct lo, hi); true where there is none. Off unless asked for."""
+    return (F.size(windows) <= 0) | F.exists(windows, lambda w: (day >= w["lo"]) & (day <= w["hi"]))
+
+
 def format_day(date: Column) -> Column:
     """``7 May 2023``, without zero padding."""
     return F.date_format(date, "d MMMM yyyy")

@@ -2,31 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.functions.text import STOP_CAPITALS, TOKEN, split_sentences, speakers_of, strip_attribution
+from recallspark.session import stash
 
 
-def name_mentions(docs: DataFrame) -> DataFrame:
-    """conv_id, seq, name for each capitalised word that does not open a sentence."""
-    parts = docs.select("conv_id", "seq", F.explode(split_sentences(F.col("text"))).alias("s"))
-    words = parts.select("conv_id", "seq", F.explode(F.slice(F.filter(F.split("s", r"\s+"), lambda x: x != ""), 2, 1 << 20)).alias("w"))
-    bare = F.regexp_replace("w", r"^[.,!?;:\"'()\[\]]+|[.,!?;:\"'()\[\]]+$", "")
-    names = words.select("conv_id", "seq", bare.alias("name")).where(F.col("name").rlike(r"^[A-Z][a-z]{2,}$"))
-    return names.where(~F.col("name").isin(STOP_CAPITALS))
+def _is_name(c: Column) -> Column:
+    return c.rlike(r"^[A-Z][a-z]{2,}$") & ~c.isin(STOP_CAPITALS)
+
+
+def sightings(docs: DataFrame) -> DataFrame:
+    """conv_id, name, seq, upper, lower: per text how often a name stands capitalised inside a sentence, and in small letters."""
+    inside = F.flatten(F.transform(split_sentences(F.col("text")), lambda s: _behind_first(F.filter(F.split(s, r"\s+"), lambda x: x != ""))))
+    bare = F.transform(inside, lambda w: F.regexp_replace(w, r"^[.,!?;:\"'()\[\]]+|[.,!?;:\"'()\[\]]+$", ""))
+    small = F.filter(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1)), lambda w: w.rlike(r"^[a-z]{3,}$"))
+    both = F.concat(
+        F.transform(F.filter(bare, _is_name), lambda w: F.struct(w.alias("name"), F.lit(1).alias("upper"))),
+        F.transform(small, lambda w: F.struct(F.initcap(w).alias("name"), F.lit(0).alias("upper"))),
+    )
+    words = docs.select("conv_id", "seq", F.inline(both))
+    return words.groupBy("conv_id", "name", "seq").agg(F.sum("upper").alias("upper"), F.sum(1 - F.col("upper")).alias("lower"))
+
+
+def _behind_first(words: Column) -> Column:
+    return F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
 
 
 def entity_stats(docs: DataFrame) -> DataFrame:
     """conv_id, name, count, lower_count (from its first sighting on), first_seq, last_seq.
 
-    ``docs``: conv_id, seq, text.
+    ``docs``: conv_id, seq, text. The texts are read once; words in small letters
+    are dropped before the last shuffle unless a name is spelt like them.
     """
-    names = name_mentions(docs).groupBy("conv_id", "name").agg(F.count("*").alias("count"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
-    low = docs.select("conv_id", "seq", F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1))).alias("w")).where(F.col("w").rlike(r"^[a-z]{3,}$"))
-    low = low.groupBy("conv_id", F.initcap("w").alias("name"), "seq").agg(F.count("*").alias("k"))
-    later = names.join(low, ["conv_id", "name"]).where(F.col("seq") >= F.col("first_seq")).groupBy("conv_id", "name").agg(F.sum("k").alias("lower_count"))
-    return names.join(later, ["conv_id", "name"], "left").na.fill(0, ["lower_count"])
+    seen = stash(sightings(docs), "sightings")
+    named = seen.where("upper > 0").groupBy("conv_id", "name").agg(F.sum("upper").alias("count"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    later = seen.where("lower > 0").join(named.select("conv_id", "name", "first_seq"), ["conv_id", "name"]).where(F.col("seq") >= F.col("first_seq"))
+    later = later.groupBy("conv_id", "name").agg(F.sum("lower").alias("lower_count"))
+    return named.join(later, ["conv_id", "name"], "left").na.fill(0, ["lower_count"])
 
 
 def proper_names(stats: DataFrame, least: int = 2, ratio: float = 0.75) -> DataFrame:

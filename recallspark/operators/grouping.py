@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.functions.vectors import unit
+from recallspark.session import stash
 
 
 def random_groups(rows: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """A control: groups by the hash of the id."""
-    return rows.select(key, F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int").alias("group_id"))
+    number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("bigint")
+    return rows.select(key, F.pmod(number, F.lit(k)).cast("int").alias("group_id"))
 
 
 def project(rows: DataFrame, vector: str = "embedding", share: float = 0.95) -> DataFrame:
@@ -57,7 +59,7 @@ def _start(sample: np.ndarray, k: int, seed: int) -> Mixture:
     return Mixture(np.full(k, 1 / k), np.array(means), np.tile(sample.var(0) + 1e-3, (k, 1)))
 
 
-def fit_mixtures(rows: DataFrame, wanted: list[tuple[int, int]], rounds: int = 8, tol: float = 1e-4) -> list[tuple[Mixture, float]]:
+def fit_mixtures(rows: DataFrame, wanted: list[tuple[int, int]], rounds: int = 8, tol: float = 1e-4, starts: list[np.ndarray] | None = None) -> list[tuple[Mixture, float]]:
     """Mixture and log-likelihood of column ``x`` for each wanted (k, seed).
 
     All are fitted in the same passes. Starting means come from a sample of at most
@@ -68,6 +70,8 @@ def fit_mixtures(rows: DataFrame, wanted: list[tuple[int, int]], rounds: int = 8
     share = min(1.0, 100 * most / max(n, 1))
     sample = np.array([r.x for r in rows.select("x").sample(share, 0).limit(50 * most).collect()] or [r.x for r in rows.select("x").limit(most).collect()])
     models = [_start(sample, k, seed) for k, seed in wanted]
+    for model, means in zip(models, starts or []):
+        model.means = np.asarray(means, float)
     likelihood, running = [-np.inf] * len(models), set(range(len(models)))
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast({m: models[m] for m in running})
@@ -101,6 +105,11 @@ def fit_mixtures(rows: DataFrame, wanted: list[tuple[int, int]], rounds: int = 8
     return list(zip(models, likelihood))
 
 
+def fit_from(rows: DataFrame, means: np.ndarray, rounds: int = 8) -> Mixture:
+    """A mixture whose components start at given means."""
+    return fit_mixtures(rows, [(len(means), 0)], rounds, starts=[means])[0][0]
+
+
 def select_mixture(rows: DataFrame, ks: Sequence[int] | None = None, seeds: Sequence[int] = (0, 1, 2)) -> Mixture:
     """Of 1 to min(60, n / 10) components the number with the lowest Bayesian information criterion, averaged over seeds."""
     n = rows.count()
@@ -131,7 +140,7 @@ def soft_groups(rows: DataFrame, model: Mixture, key: str) -> DataFrame:
                 groups += order[i, : many[i]].tolist()
             yield pd.DataFrame({key: ids, "group_id": groups})
 
-    return rows.select(key, "x").mapInPandas(run, f"{key} bigint, group_id int")
+    return rows.select(key, "x").mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, group_id int")
 
 
 def mutual_neighbours(rows: DataFrame, key: str, vector: str = "embedding", k: int | None = None, block: int = 2048) -> DataFrame:
@@ -167,8 +176,6 @@ def mutual_neighbours(rows: DataFrame, key: str, vector: str = "embedding", k: i
     held = u.select("id", "u", every.alias("a"), F.col("own").alias("b"))
     found = asked.groupBy("a", "b").cogroup(held.groupBy("a", "b")).applyInPandas(best, f"id {kind}, other {kind}, sim double")
     w = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
-    from recallspark.session import stash
-
     near = stash(found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n"), "near")
     back = near.select(F.col("other").alias("id"), F.col("id").alias("other"))
     return near.join(back, ["id", "other"], "left_semi").where((F.col("id") < F.col("other")) & (F.col("sim") > 0)).withColumnRenamed("id", key)
@@ -191,8 +198,6 @@ def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
 
     ``edges``: src, dst, weight, each pair once. Ties take the smaller label.
     """
-    from recallspark.session import stash
-
     both = stash(edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "edges")
     labels = both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
     for _ in range(rounds):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.functions.text import tokens
@@ -38,19 +38,52 @@ def term_stats(posts: DataFrame, corpus: DataFrame, group: str = "conv_id") -> D
     return df.join(corpus, group).select(group, "term", "df", idf.alias("idf"), "avgdl")
 
 
-def bm25(queries: DataFrame, docs: DataFrame, group: str = "conv_id", key: str = "episode_id", text: str = "text") -> DataFrame:
-    """qid, group, key, lex for every document that shares a term with the query.
+#: A conversation's share of a frequent term is spread over so many tasks.
+SALTS = 16
 
-    ``queries``: qid, group and ``terms`` (the query text).
-    """
-    posts = postings(docs, group, key, text)
+
+def salted(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+
+
+def every_salt(df: DataFrame) -> DataFrame:
+    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+
+
+def lexical_index(docs: DataFrame, group: str = "conv_id", key: str = "episode_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Postings and corpus statistics, as ``bm25`` takes them and ``store`` writes them."""
+    return postings(docs, group, key, text), corpus_stats(docs, group, text)
+
+
+def asked_terms(queries: DataFrame, index: tuple[DataFrame, DataFrame], group: str = "conv_id") -> DataFrame:
+    """qid, group, term, qtf, idf, avgdl of the terms that occur."""
+    posts, corpus = index
     asked = queries.select("qid", group, F.explode(tokens(F.col("terms"))).alias("term")).groupBy("qid", group, "term").agg(F.count("*").alias("qtf"))
     wanted = asked.select(group, "term").distinct()
-    stats = term_stats(posts.join(wanted, [group, "term"], "left_semi"), corpus_stats(docs, group, text), group)
-    scored = asked.join(stats, [group, "term"]).join(posts, [group, "term"])
+    return asked.join(term_stats(posts.join(wanted, [group, "term"], "left_semi"), corpus, group), [group, "term"])
+
+
+def _part() -> Column:
     tf = F.col("tf")
-    part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))
-    return scored.groupBy("qid", group, key).agg(F.sum(part).alias("lex"))
+    return F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))
+
+
+def bm25(queries: DataFrame, docs: DataFrame, group: str = "conv_id", key: str = "episode_id", text: str = "text", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """qid, group, key, lex for every document that shares a term with the query.
+
+    ``queries``: qid, group and ``terms`` (the query text). ``index``: stored postings
+    and corpus statistics; without it they are derived from ``docs``.
+    """
+    index = index or lexical_index(docs, group, key, text)
+    asked = every_salt(asked_terms(queries, index, group))
+    scored = asked.join(salted(index[0], key), [group, "term", "_salt"])
+    return scored.groupBy("qid", group, key).agg(F.sum(_part()).alias("lex"))
+
+
+def bm25_of(pairs: DataFrame, queries: DataFrame, index: tuple[DataFrame, DataFrame], group: str = "conv_id", key: str = "episode_id") -> DataFrame:
+    """As ``bm25``, for the given (qid, group, key) alone."""
+    rows = pairs.select("qid", group, key).join(asked_terms(queries, index, group), ["qid", group])
+    return rows.join(index[0], [group, "term", key]).groupBy("qid", group, key).agg(F.sum(_part()).alias("lex"))
 
 
 def top_k(scored: DataFrame, score: str, k: int, tie: list[str], by: str = "qid") -> DataFrame:

@@ -63,14 +63,21 @@ def pack_slots(ranked: DataFrame, k: int, slots: int) -> DataFrame:
     return rows.withColumn("place", _rank(["qid"], [F.desc("kept"), F.desc("score"), "id"])).where(F.col("place") <= k).drop("n", "kept")
 
 
-def feedback_terms(top: DataFrame, terms: int = 12, order: str = "lexicographic") -> DataFrame:
-    """Expansion terms from feedback texts (qid, text): tokens over three letters, the first by order."""
-    if order != "lexicographic":
-        raise ValueError("only the lexicographic order is defined without term statistics")
-    words = top.select("qid", F.explode(tokens(F.col("text"))).alias("term")).where(F.length("term") > 3).distinct()
-    w = Window.partitionBy("qid").orderBy("term")
+def feedback_terms(top: DataFrame, terms: int = 12, order: str = "lexicographic", stats: DataFrame | None = None) -> DataFrame:
+    """Expansion terms from feedback texts (qid, text): tokens over three letters, the first by order.
+
+    ``order``: ``lexicographic``, or ``idf`` for the rarest first; that needs ``stats``
+    (conv_id, term, idf) and the texts' ``conv_id``.
+    """
+    if order not in ("lexicographic", "idf") or (order == "idf" and stats is None):
+        raise ValueError("the order is lexicographic, or idf with term statistics")
+    keys = ["qid", "conv_id"] if order == "idf" else ["qid"]
+    words = top.select(*keys, F.explode(tokens(F.col("text"))).alias("term")).where(F.length("term") > 3).distinct()
+    if order == "idf":
+        words = words.join(stats.select("conv_id", "term", "idf"), ["conv_id", "term"], "left")
+    w = Window.partitionBy("qid").orderBy(*([F.desc(F.coalesce("idf", F.lit(0.0)))] if order == "idf" else []), "term")
     first = words.withColumn("n", F.row_number().over(w)).where(F.col("n") <= terms)
-    return first.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("terms"))
+    return first.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "term"))), lambda x: x["term"]), " ").alias("terms"))
 
 
 def neighbours(pack: DataFrame, docs: DataFrame, width: int = 1) -> DataFrame:

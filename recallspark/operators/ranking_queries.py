@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recallspark.functions.dates import parse_session_date
+from recallspark.functions.dates import epoch_seconds, iso_day, parse_session_date
+from recallspark.operators import context as C
 from recallspark.operators import ranking as R
 from recallspark.operators import views as V
+from recallspark.operators.entities import speakers
 from recallspark.operators.fusion import dense
 from recallspark.operators.lexical import bm25, top_k
 from recallspark.operators.search_queries import _sql_bm25, _sql_dense
+from recallspark.session import stash
 
 
 def _lists(spark, d):
@@ -100,27 +103,49 @@ def fullcontext_order(spark, d):
     return V.with_seq(V.episodes(spark, d)).select("conv_id", "episode_id", "seq")
 
 
-def metadata_boost(spark, d):
-    """Boosts of year (0.05) and month (0.08) for the stated questions over their conversation's episodes."""
-    names = "(" + "|".join(_LONG) + ")"
+def _asked(spark, d):
     q = V.questions(spark, d).where(F.col("pq_id") % 100 == 0)
-    low = F.lower("question")
-    q = q.select(
-        F.col("pq_id").alias("qid"), F.col("sample").alias("conv_id"), F.array_distinct(F.regexp_extract_all(low, F.lit(r"\b(20\d{2})\b"), F.lit(1))).alias("years"),
-        F.array_distinct(F.transform(F.regexp_extract_all(low, F.lit(rf"\b{names}\b"), F.lit(1)), lambda m: F.substring(m, 1, 3))).alias("months"),
-    )
-    e = V.episodes(spark, d, "session_datetime")
-    head = F.lower(F.concat_ws(" ", "session_datetime", F.substring("text", 1, 80)))
-    e = e.select(
-        "conv_id", "episode_id", F.regexp_extract_all(head, F.lit(r"\b(20\d{2})\b"), F.lit(1)).alias("ys"),
-        F.transform(F.regexp_extract_all(head, F.lit(rf"\b{names}\b"), F.lit(1)), lambda m: F.substring(m, 1, 3)).alias("ms"),
-    )
-    boost = F.arrays_overlap("years", "ys").cast("int") * 0.05 + F.arrays_overlap("months", "ms").cast("int") * 0.08
-    return q.join(e, "conv_id").select("qid", "episode_id", F.round(boost.cast("double"), 2).alias("boost")).where("boost > 0")
+    return q.select(F.col("pq_id").alias("qid"), F.col("sample").alias("conv_id"), F.col("question").alias("terms"))
+
+
+def _told(spark, d):
+    e = V.episodes(spark, d, "session_datetime", "ts_raw", "episode_speakers", "caption_concise", "image_path")
+    stamp = F.coalesce("ts_raw", "session_datetime")
+    return e.select("conv_id", "episode_id", "text", stamp.alias("stamp"), F.col("episode_speakers").alias("speakers"), F.col("caption_concise").alias("caption"), "image_path")
+
+
+def query_constraints(spark, d):
+    """Speakers, years and months that the stated questions name."""
+    c = C.constraints(_asked(spark, d), speakers(_told(spark, d)))
+    return c.select("qid", F.concat_ws(",", F.coalesce("speakers", F.array().cast("array<string>"))).alias("speakers"), F.concat_ws(",", F.array_sort("years")).alias("years"), F.concat_ws(",", F.transform(F.array_sort("months"), lambda m: m.cast("string"))).alias("months"))
+
+
+def metadata_boost(spark, d):
+    """Boosts of speaker (0.10), year (0.05) and month (0.08) for the stated questions over their conversation's episodes."""
+    e, q = stash(_told(spark, d), "told"), _asked(spark, d)
+    wanted = C.constraints(q, speakers(e))
+    pairs = wanted.select("qid", "conv_id").join(e.select("conv_id", "episode_id"), "conv_id")
+    return C.boosts(pairs, wanted, e).select("qid", "episode_id", F.round("boost", 2).alias("boost"))
 
 
-#: Month names and abbreviations that count as a month, the modal "may" included.
-_LONG = "january february march april may june july august september october november december jan feb mar apr jun jul aug sep sept oct nov dec".split()
+def caption_boost(spark, d):
+    """Share of a question's words in the captions of its conversation's images, weighted by 0.4."""
+    e, q = _told(spark, d), _asked(spark, d).withColumn("keywords", C.caption_keywords(F.col("terms")))
+    pairs = q.select("qid", "conv_id").join(e.where(F.trim(F.coalesce("caption", F.lit(""))) != "").select("conv_id", "episode_id"), "conv_id")
+    return C.caption_boosts(pairs, q, e).select("qid", "episode_id", F.round("boost", 6).alias("boost"))
+
+
+def question_sample(spark, d):
+    """At most three questions a conversation, drawn by hash."""
+    q = V.questions(spark, d).select(F.col("pq_id").alias("qid"), F.col("sample").alias("conv_id"))
+    return C.sampled_questions(q, 3).groupBy("conv_id").agg(F.count("*").alias("questions"))
+
+
+def evidence_order(spark, d):
+    """Evidence of each subject's notes in the order of their ids, each id once."""
+    n = V.notes(spark, d, "evidence_ids")
+    rows = n.select(F.concat_ws("|", "conv_id", F.lower(F.trim("subject"))).alias("qid"), F.col("note_id").alias("place"), "evidence_ids")
+    return C.ordered_evidence(rows).select(F.col("qid").alias("subject"), F.array_join("evidence", " ").alias("evidence"))
 
 
 def session_dates(spark, d):
@@ -128,6 +153,12 @@ def session_dates(spark, d):
     return e.select("episode_id", parse_session_date(F.col("session_datetime")).alias("session_day"), parse_session_date(F.col("ts_raw")).alias("stamp_day"))
 
 
+def stamp_forms(spark, d):
+    """Each episode's stamp as a day if it can be read (else as it is), and as seconds since 1970 if it is ISO."""
+    e = V.episodes(spark, d, "ts_raw")
+    return e.select("episode_id", iso_day(F.col("ts_raw")).alias("day"), epoch_seconds(F.col("ts_raw")).alias("seconds"))
+
+
 _CAND = f"""WITH {V.SQL_CALLS},
 cand AS (SELECT pq_id AS qid, CASE WHEN role = 'judge' THEN 'note' ELSE 'episode' END AS kind, call_id AS id, latency_s AS score
          FROM cl WHERE pq_id IS NOT NULL AND latency_s IS NOT NULL)"""
@@ -139,13 +170,26 @@ seen AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sem DESC, episod
 fw AS (SELECT DISTINCT qid, unnest({V.sql_tokens("text")}) AS term FROM seen JOIN ep USING (conv_id, episode_id) WHERE r <= 2),
 ft AS (SELECT qid, term FROM fw WHERE length(term) > 3 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY term) <= 12)"""
 #: RE2's word boundary is ASCII: neighbours are spelt out, on text with doubled spaces.
-_NAMES = "[^\\p{L}\\p{N}_](" + "|".join(_LONG) + ")[^\\p{L}\\p{N}_]"
+_NAMES = "[^\\p{L}\\p{N}_](" + "|".join(C.MONTH_NAMES) + ")[^\\p{L}\\p{N}_]"
+
+
+
+def _sql_months(text: str) -> str:
+    names = f"regexp_extract_all(' ' || replace(lower({text}), ' ', '  ') || ' ', '{_NAMES}', 1)"
+    return f"list_transform({names}, lambda m: (instr('janfebmaraprmayjunjulaugsepoctnovdec', left(m, 3)) + 2) // 3)"
+
 
+_WANT = f"""WITH {V.SQL_EPISODES}, {V.SQL_QUESTIONS},
+em AS (SELECT *, coalesce(ts_raw, session_datetime) AS stamp FROM ep),
+nm AS (SELECT DISTINCT conv_id, lower(n) AS name FROM (SELECT conv_id, unnest(regexp_extract_all(text, 'Speaker\\s+([A-Z][A-Za-z\\-'']+)\\s+says', 1)) AS n FROM ep) WHERE length(n) > 2),
+qw AS (SELECT pq_id AS qid, sample AS conv_id, coalesce(question, '') AS t FROM qs WHERE pq_id % 100 = 0),
+sw AS (SELECT qid, list(name) AS speakers FROM qw JOIN nm USING (conv_id) WHERE regexp_matches(' ' || lower(t) || ' ', '[^\\p{{L}}\\p{{N}}_]' || name || '[^\\p{{L}}\\p{{N}}_]') GROUP BY qid),
+cn AS (SELECT qid, conv_id, coalesce(speakers, []) AS speakers, list_distinct(regexp_extract_all(t, '\\b(20\\d{{2}})\\b', 1)) AS years, list_distinct({_sql_months('t')}) AS months FROM qw LEFT JOIN sw USING (qid))"""
 QUERIES = {
     f.__name__: f
     for f in (
         pool_score, pool_roundrobin, zscore_by_kind, pack_compete, pack_additive, pack_slots, pack_route, prf_terms, prf_expand, summary_expand,
-        context_neighbours, fullcontext_order, metadata_boost, session_dates,
+        context_neighbours, fullcontext_order, query_constraints, metadata_boost, caption_boost, question_sample, evidence_order, session_dates, stamp_forms,
     )
 }
 
@@ -162,7 +206,12 @@ SQL = {
     "summary_expand": f"WITH {V.SQL_EPISODES}, {V.SQL_NOTES}, h AS (SELECT conv_id AS qid, note_id, provenance, row_number() OVER (PARTITION BY conv_id ORDER BY note_id) AS nr FROM nt QUALIFY nr <= 5), x AS (SELECT qid, note_id, nr, unnest(provenance) AS episode_id, generate_subscripts(provenance, 1) AS pos FROM h) SELECT qid, episode_id, note_id, CAST(nr AS INTEGER) AS note_rank FROM x WHERE episode_id IN (SELECT episode_id FROM ep WHERE NOT is_query) QUALIFY row_number() OVER (PARTITION BY qid, episode_id ORDER BY nr, pos) = 1",
     "context_neighbours": f"WITH {V.SQL_EPISODES}, s AS (SELECT *, coalesce(nullif(session_id, ''), nullif(session_datetime, ''), nullif(ts_raw, ''), 'none') AS session FROM ep) SELECT DISTINCT q.episode_id AS qid, s.episode_id AS id, s.seq FROM s q JOIN s ON s.conv_id = q.conv_id AND s.session = q.session AND abs(s.seq - q.seq) <= 1 WHERE q.is_query",
     "fullcontext_order": f"WITH {V.SQL_EPISODES} SELECT conv_id, episode_id, seq FROM ep",
-    "metadata_boost": f"WITH {V.SQL_EPISODES}, {V.SQL_QUESTIONS}, q AS (SELECT pq_id AS qid, sample AS conv_id, regexp_extract_all(lower(question), '\\b(20\\d{{2}})\\b') AS years, list_transform(regexp_extract_all(' ' || replace(lower(question), ' ', '  ') || ' ', '{_NAMES}', 1), lambda m: left(m, 3)) AS months FROM qs WHERE pq_id % 100 = 0), e AS (SELECT conv_id, episode_id, lower(concat_ws(' ', session_datetime, left(text, 80))) AS head FROM ep), j AS (SELECT qid, episode_id, round(CAST(list_has_any(years, regexp_extract_all(head, '\\b(20\\d{{2}})\\b')) AS INTEGER) * 0.05::DOUBLE + CAST(list_has_any(months, list_transform(regexp_extract_all(' ' || replace(head, ' ', '  ') || ' ', '{_NAMES}', 1), lambda m: left(m, 3))) AS INTEGER) * 0.08::DOUBLE, 2) AS boost FROM q JOIN e USING (conv_id)) SELECT * FROM j WHERE boost > 0",
+    "query_constraints": f"{_WANT} SELECT qid, coalesce(array_to_string(list_sort(speakers), ','), '') AS speakers, coalesce(array_to_string(list_sort(years), ','), '') AS years, coalesce(array_to_string(list_transform(list_sort(months), lambda m: CAST(m AS VARCHAR)), ','), '') AS months FROM cn",
+    "metadata_boost": f"{_WANT}, e AS (SELECT *, coalesce(stamp, 'None') || ' ' || left(text, 80) AS head, lower(text) AS low, list_transform(coalesce(episode_speakers, []), lambda x: lower(x)) AS who FROM em), j AS (SELECT qid, episode_id, round(CAST(len(list_filter(speakers, lambda s: list_contains(who, s) OR contains(low, 'speaker ' || s))) > 0 AS INTEGER) * 0.10::DOUBLE + CAST(list_has_any(years, regexp_extract_all(head, '\\b(20\\d{{2}})\\b', 1)) AS INTEGER) * 0.05::DOUBLE + CAST(list_has_any(months, list_concat({_sql_months('head')}, list_filter(list_transform(regexp_extract_all(coalesce(stamp, ''), '-0?(\\d{{1,2}})-', 1), lambda x: CAST(x AS INTEGER)), lambda n: n BETWEEN 1 AND 12))) AS INTEGER) * 0.08::DOUBLE, 2) AS boost FROM cn JOIN e USING (conv_id)) SELECT * FROM j WHERE boost > 0",
+    "caption_boost": f"{_WANT}, w AS (SELECT pq_id AS qid, sample AS conv_id, list_filter(list_distinct({V.sql_tokens('question')}), lambda t: length(t) > 2) AS want FROM qs WHERE pq_id % 100 = 0), j AS (SELECT qid, episode_id, CASE WHEN len(want) > 0 THEN len(list_intersect(want, list_distinct({V.sql_tokens('caption_concise')})))::DOUBLE / len(want) ELSE 0 END * 0.4::DOUBLE AS b FROM w JOIN em USING (conv_id) WHERE trim(coalesce(caption_concise, '')) <> '') SELECT qid, episode_id, round(b, 6) AS boost FROM j WHERE b > 0",
+    "question_sample": f"WITH {V.SQL_QUESTIONS} SELECT sample AS conv_id, least(3, count(*)) AS questions FROM qs GROUP BY sample",
+    "evidence_order": f"WITH {V.SQL_NOTES}, k AS (SELECT *, concat_ws('|', conv_id, lower(trim(subject))) AS k FROM nt), x AS (SELECT k, note_id, unnest(evidence_ids) AS e, generate_subscripts(evidence_ids, 1) AS p FROM k), f AS (SELECT k, e, min((note_id, p)) AS z FROM x GROUP BY ALL), s AS (SELECT k, string_agg(e, ' ' ORDER BY z) AS evidence FROM f GROUP BY k) SELECT a.k AS subject, coalesce(evidence, '') AS evidence FROM (SELECT DISTINCT k FROM k) a LEFT JOIN s ON a.k = s.k",
+    "stamp_forms": f"WITH {V.SQL_EPISODES} SELECT episode_id, coalesce(strftime({{day2}}, '%Y-%m-%d'), ts_raw) AS day, CASE WHEN regexp_matches(ts_raw, '^\\d{{4}}-\\d{{2}}-\\d{{2}}(T\\d{{2}}:\\d{{2}}:\\d{{2}})?$') THEN epoch(try_cast(ts_raw AS TIMESTAMP)) END AS seconds FROM ep",
     "session_dates": f"WITH {V.SQL_EPISODES} SELECT episode_id, {{day1}} AS session_day, {{day2}} AS stamp_day FROM ep",
 }
 
@@ -170,7 +219,8 @@ SQL = {
 def _fill() -> None:
     from recallspark.operators.history_queries import _day
 
-    SQL["session_dates"] = SQL["session_dates"].replace("{day1}", _day("session_datetime")).replace("{day2}", _day("ts_raw"))
+    for name in ("session_dates", "stamp_forms"):
+        SQL[name] = SQL[name].replace("{day1}", _day("session_datetime")).replace("{day2}", _day("ts_raw"))
 
 
 _fill()

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from recallspark.functions import text as T
 from recallspark.functions.vectors import norm, unit, usable
 from recallspark.operators import views as V
-from recallspark.operators.fusion import candidates, dense, fuse, hybrid_search, minmax
+from recallspark.operators.evaluation import minmax_scaled
+from recallspark.operators.fusion import candidates, dense, dense_baseline, fuse, hybrid_search
 from recallspark.operators.lexical import bm25, corpus_stats, fuzzy_top, postings, term_stats, top_k
 
 SCAN, K = 30, 10
@@ -66,6 +67,13 @@ def dense_topk(spark, d):
     return top_k(s, "sem", K, ["episode_id"]).select("qid", "episode_id", "rank", F.round("sem", 6).alias("sem"))
 
 
+def dense_last(spark, d):
+    """The end of the dense baseline's 200 best: episodes without a usable vector, which score -1."""
+    e = _docs(spark, d)
+    s = dense_baseline(_queries(e), e, 200)
+    return s.where(F.col("sem") == -1).select("qid", "episode_id", "rank")
+
+
 def _hybrid(spark, d, method):
     e = _docs(spark, d)
     found = hybrid_search(_queries(e), e, SCAN, K, method)
@@ -85,8 +93,8 @@ def hybrid_max(spark, d):
 
 
 def minmax_norm(spark, d):
-    n = V.calls(spark, d).where(F.col("latency_s").isNotNull()).withColumn("qid", F.coalesce("role", F.lit("none")))
-    return n.select("call_id", F.round(minmax(F.col("latency_s")), 6).alias("scaled"))
+    n = V.calls(spark, d).where(F.col("latency_s").isNotNull()).withColumn("role", F.coalesce("role", F.lit("none")))
+    return minmax_scaled(n, "latency_s", "role").select("call_id", F.round("scaled", 6).alias("scaled"))
 
 
 def note_hybrid(spark, d):
@@ -100,13 +108,13 @@ def interleave_baseline(spark, d):
     """Dense and lexical lists taken in turn, dense first, each id once, cut at k."""
     e = _docs(spark, d)
     q = _queries(e)
-    pool = candidates(bm25(q, e), dense(q, e), K)
+    pool = candidates(q, e, K)
     place = F.least(F.coalesce(F.col("sem_rank") * 2 - 1, F.lit(1 << 30)), F.coalesce(F.col("lex_rank") * 2, F.lit(1 << 30)))
     return top_k(pool.withColumn("turn", -place), "turn", K, ["episode_id"]).select("qid", "episode_id", "rank")
 
 
 def fuzzy_search(spark, d):
-    """Share of all distinct query tokens found, up to one edit; the SQL beside it still reads the first 12 only."""
+    """Share of all distinct query tokens found, up to one edit."""
     words = F.array_distinct(T.tokens(F.col("text")))
     e = V.episodes(spark, d).select("conv_id", "episode_id", F.transform(words, T.stem).alias("stems"))
     q = e.where(V.is_query()).select(F.col("episode_id").alias("qid"), "conv_id", F.col("stems").alias("want"))
@@ -141,8 +149,11 @@ def embedding_coverage(spark, d):
 
 
 def centroid_by_label(spark, d):
-    v = spark.read.parquet(f"{d}/embeddings.parquet").select("label", F.posexplode("embedding").alias("dim", "x"))
-    return v.groupBy("label", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+    """Mean vector of each label's unit vectors, at length one again."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select("label", F.posexplode(unit(F.col("embedding"))).alias("dim", "x"))
+    mean = v.groupBy("label", "dim").agg(F.avg("x").alias("mean"))
+    length = mean.groupBy("label").agg(F.sqrt(F.sum(F.col("mean") * F.col("mean"))).alias("length"))
+    return mean.join(length, "label").select("label", "dim", F.round(F.col("mean") / F.greatest("length", F.lit(1e-12)), 6).alias("mean"))
 
 
 _T = V.sql_tokens
@@ -220,7 +231,7 @@ _NT = V.SQL_NOTES + ",\nnx AS (SELECT *, concat_ws(' ', subject, attribute, stat
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize_counts, normalised_text, stem_tokens, postings_stats, bm25_idf, bm25_topk, note_bm25_topk, dense_topk, hybrid_convex, hybrid_rrf, hybrid_max,
+        tokenize_counts, normalised_text, stem_tokens, postings_stats, bm25_idf, bm25_topk, note_bm25_topk, dense_topk, dense_last, hybrid_convex, hybrid_rrf, hybrid_max,
         minmax_norm, note_hybrid, interleave_baseline, fuzzy_search, caption_search, jaccard_neighbours, vector_norms, embedding_coverage, centroid_by_label,
     )
 }
@@ -234,16 +245,17 @@ SQL = {
     "bm25_topk": f"WITH {_EP}, {_sql_bm25('ep', 'episode_id', 'text', 'is_query')} SELECT qid, episode_id, CAST(row_number() OVER w AS INTEGER) AS rank, round(lex, 6) AS lex FROM lexed WINDOW w AS (PARTITION BY qid ORDER BY lex DESC, episode_id) QUALIFY row_number() OVER w <= {K}",
     "note_bm25_topk": f"WITH {_NT}, {_sql_bm25('nx', 'note_id', 'text', _NQ)} SELECT qid, note_id, CAST(row_number() OVER w AS INTEGER) AS rank, round(lex, 6) AS lex FROM lexed WINDOW w AS (PARTITION BY qid ORDER BY lex DESC, note_id) QUALIFY row_number() OVER w <= {K}",
     "dense_topk": f"WITH {_EP}, {_sql_dense('ep', 'episode_id', 'is_query')} SELECT qid, episode_id, CAST(row_number() OVER w AS INTEGER) AS rank, round(sem, 6) AS sem FROM semd WINDOW w AS (PARTITION BY qid ORDER BY sem DESC, episode_id) QUALIFY row_number() OVER w <= {K}",
+    "dense_last": f"WITH {_EP}, {_sql_dense('ep', 'episode_id', 'is_query')}, b AS (SELECT qid, episode_id, sem FROM semd UNION ALL SELECT v.episode_id, e.episode_id, -1 FROM vec v JOIN ep e ON e.conv_id = v.conv_id WHERE v.asks AND NOT {V.sql_usable('e.embedding')}), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sem DESC, episode_id) AS rank FROM b) SELECT qid, episode_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 200 AND sem = -1",
     "hybrid_convex": _sql_hybrid(_CONVEX),
     "hybrid_rrf": _sql_hybrid(_RRF),
     "hybrid_max": _sql_hybrid("round(greatest(lex, sem), 9)"),
     "minmax_norm": f"WITH {V.SQL_CALLS}, b AS (SELECT call_id, latency_s AS x, min(latency_s) OVER w AS lo, max(latency_s) OVER w AS hi FROM cl WHERE latency_s IS NOT NULL WINDOW w AS (PARTITION BY coalesce(role, 'none'))) SELECT call_id, round(CASE WHEN hi - lo < 1e-12 THEN 1 ELSE (x - lo) / (hi - lo) END, 6) AS scaled FROM b",
     "note_hybrid": f"WITH {_NT}, {_sql_bm25('nx', 'note_id', 'text', _NQ)}, {_sql_dense('nx', 'note_id', _NQ)}, {_sql_pool('note_id', SCAN)}, scored AS (SELECT *, {_CONVEX} AS score FROM norm) SELECT qid, note_id, CAST(row_number() OVER w AS INTEGER) AS rank, round(score, 5) AS score FROM scored WINDOW w AS (PARTITION BY qid ORDER BY score DESC, note_id) QUALIFY row_number() OVER w <= {K}",
     "interleave_baseline": f"WITH {_EP}, {_sql_bm25('ep', 'episode_id', 'text', 'is_query')}, {_sql_dense('ep', 'episode_id', 'is_query')}, {_sql_pool('episode_id', K)} SELECT qid, episode_id, CAST(row_number() OVER w AS INTEGER) AS rank FROM pool WINDOW w AS (PARTITION BY qid ORDER BY least(coalesce(sr * 2 - 1, 1 << 30), coalesce(lr * 2, 1 << 30)), episode_id) QUALIFY row_number() OVER w <= {K}",
-    "fuzzy_search": f"WITH {_EP}, t AS (SELECT conv_id, episode_id, is_query, {_T('text')} AS toks, list_distinct({_T('text')}) AS have FROM ep), w AS (SELECT episode_id AS qid, conv_id, (SELECT list(x ORDER BY p)[1:12] FROM (SELECT x, min(p) AS p FROM (SELECT unnest(toks) AS x, generate_subscripts(toks, 1) AS p) GROUP BY x)) AS want FROM t WHERE is_query), s AS (SELECT qid, t.episode_id, round({_sql_fuzzy('coalesce(want, [])', 'have')}, 9) AS overlap FROM w JOIN t USING (conv_id)) SELECT qid, episode_id, CAST(row_number() OVER o AS INTEGER) AS rank, round(overlap, 6) AS overlap FROM s WINDOW o AS (PARTITION BY qid ORDER BY overlap DESC, episode_id) QUALIFY row_number() OVER o <= {K}",
+    "fuzzy_search": f"WITH {_EP}, t AS (SELECT conv_id, episode_id, is_query, list_distinct({_T('text')}) AS have FROM ep), s AS (SELECT w.episode_id AS qid, t.episode_id, round({_sql_fuzzy('w.have', 't.have')}, 9) AS overlap FROM t w JOIN t USING (conv_id) WHERE w.is_query) SELECT qid, episode_id, CAST(row_number() OVER o AS INTEGER) AS rank, round(overlap, 6) AS overlap FROM s WINDOW o AS (PARTITION BY qid ORDER BY overlap DESC, episode_id) QUALIFY row_number() OVER o <= {K}",
     "caption_search": f"WITH {_EP}, w AS (SELECT episode_id AS qid, conv_id, list_distinct({_T('text')}) AS want FROM ep WHERE is_query), h AS (SELECT conv_id, episode_id, list_distinct({_T('caption_concise')}) AS have FROM ep WHERE coalesce(caption_concise, '') <> ''), s AS (SELECT qid, h.episode_id, round({_sql_fuzzy('want', 'have')}, 9) AS overlap FROM w JOIN h USING (conv_id)) SELECT qid, episode_id, CAST(row_number() OVER o AS INTEGER) AS rank, round(overlap, 6) AS overlap FROM s WHERE overlap > 0 WINDOW o AS (PARTITION BY qid ORDER BY overlap DESC, episode_id) QUALIFY row_number() OVER o <= 5",
     "jaccard_neighbours": f"WITH {_EP}, t AS (SELECT conv_id, seq, episode_id, list_distinct({_T('text')}) AS t FROM ep) SELECT a.episode_id, round(CASE WHEN len(a.t) > 0 AND len(b.t) > 0 THEN len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) ELSE 0 END, 6) AS jaccard FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.seq = a.seq + 1",
     "vector_norms": f"WITH {_EP}, v AS (SELECT episode_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM ep WHERE {V.sql_usable('embedding')}) SELECT episode_id, round(sqrt(list_dot_product(v, v)), 5) AS norm, round(v[1] / sqrt(list_dot_product(v, v)), 5) AS first FROM v",
     "embedding_coverage": f"WITH {_EP} SELECT conv_id, count(*) AS episodes, CAST(sum(CAST({V.sql_usable('embedding')} AS INTEGER)) AS BIGINT) AS usable FROM ep GROUP BY conv_id",
-    "centroid_by_label": "SELECT label, CAST(dim - 1 AS INTEGER) AS dim, round(avg(x::DOUBLE), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings) GROUP BY label, dim",
+    "centroid_by_label": "WITH u AS (SELECT label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM (SELECT label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)), m AS (SELECT label, dim, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM u) GROUP BY ALL) SELECT label, CAST(dim - 1 AS INTEGER) AS dim, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS mean FROM m",
 }

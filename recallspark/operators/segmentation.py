@@ -2,59 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recallspark.operators.views import running_sum
+from recallspark.session import stash
 
-def tile_gaps(vectors: DataFrame, group: str = "conv_id") -> DataFrame:
+
+def tile_gaps(vectors: DataFrame, group: str = "conv_id", least_bucket: int = 4096) -> DataFrame:
     """Cosine of the mean vectors of the w rows before and after each gap.
 
     ``vectors``: group, pos (from 0 without holes), vector (unit length). w is
     max(3, round(sqrt(n) / 2)) per group; groups of fewer than 4 w rows have no
-    gap. Block means are differences of running sums, so the cost is linear in n
+    gap. Positions are worked on in buckets of at least 4 w, each with the w rows
+    around it, so a vector is shuffled once or twice and a long group is many
+    tasks; block means are differences of running sums, so the cost is linear in n
     whatever w is. Result: group, pos (first row after the gap), gap, w, n.
     """
     sizes = vectors.groupBy(group).agg(F.count("*").alias("n")).withColumn("w", F.greatest(F.lit(3), F.bround(F.sqrt("n") / 2, 0).cast("int")))
-    sizes = sizes.where(F.col("n") >= 4 * F.col("w"))
-    rows = vectors.join(sizes, group).select(group, "pos", "n", "w", F.posexplode("vector").alias("dim", "x"))
-    run = Window.partitionBy(group, "dim").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    sums = rows.select(group, "dim", "n", "w", (F.col("pos") + 1).alias("upto"), F.sum(F.col("x").cast("double")).over(run).alias("s"))
-    zero = rows.where(F.col("pos") == 0).select(group, "dim", "n", "w", F.lit(0).cast("bigint").alias("upto"), F.lit(0.0).alias("s"))
-    sums = sums.unionByName(zero)
-    # A running sum serves the gaps w before, at and w after it.
-    asked = sums.select(group, "dim", "n", "w", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("side"), "upto", "s").withColumn("pos", F.col("upto") - F.col("side") * F.col("w"))
-    part = lambda k: F.sum(F.when(F.col("side") == k, F.col("s")))
-    blocks = asked.where(F.col("pos").between(F.col("w"), F.col("n") - F.col("w"))).groupBy(group, "pos", "n", "w", "dim").agg((part(0) - part(-1)).alias("a"), (part(1) - part(0)).alias("b"))
-    sides = blocks.groupBy(group, "pos", "n", "w").agg(F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
-    gap = F.coalesce(F.try_divide("ab", F.sqrt("aa") * F.sqrt("bb")), F.lit(0.0))
-    return sides.select(group, "pos", "n", "w", F.round(gap, 9).alias("gap"))
+    sizes = sizes.where(F.col("n") >= 4 * F.col("w")).withColumn("size", F.greatest(F.lit(least_bucket), 4 * F.col("w")))
+    rows = vectors.join(sizes, group)
+    at = lambda shift: F.floor((F.col("pos") + shift) / F.col("size"))
+    spread = rows.select(group, "pos", "n", "w", "size", "vector", F.explode(F.array_distinct(F.array(at(-F.col("w")), at(F.lit(0)), at(F.col("w"))))).alias("bucket"))
+    kind = dict(vectors.dtypes)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("pos")
+        n, w, size, bucket = (int(frame[c].iloc[0]) for c in ("n", "w", "size", "bucket"))
+        pos, x = frame["pos"].to_numpy(), np.array(frame["vector"].tolist(), float)
+        sums = np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)])
+        gaps = np.arange(max(bucket * size, w), min((bucket + 1) * size - 1, n - w) + 1)
+        i = gaps - pos[0]  # rows lie without holes
+        a, b = sums[i] - sums[i - w], sums[i + w] - sums[i]
+        length = np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1))
+        gap = np.divide((a * b).sum(1), length, out=np.zeros(len(a)), where=length > 0)
+        return pd.DataFrame({group: frame[group].iloc[0], "pos": gaps, "n": n, "w": w, "gap": np.round(gap, 9)})
+
+    return spread.groupBy(group, "bucket").applyInPandas(run, f"{group} {kind[group]}, pos bigint, n bigint, w int, gap double")
+
+
+def beside(rows: DataFrame, group: str, value: str, shift: int, name: str) -> DataFrame:
+    """``rows`` with the ``value`` that stands ``shift`` places on, or NULL: a join on the place, not a sort of the group."""
+    other = rows.select(group, (F.col("pos") - shift).alias("pos"), F.col(value).alias(name))
+    return rows.join(other, [group, "pos"], "left")
 
 
 def tile_depths(gaps: DataFrame, group: str = "conv_id") -> DataFrame:
-    """How far each gap lies below the peaks on either side (climbing while not falling)."""
-    w = Window.partitionBy(group).orderBy("pos")
-    back = Window.partitionBy(group).orderBy(F.desc("pos"))
-    rows = gaps.withColumn("_l", F.sum(F.coalesce((F.lag("gap").over(w) < F.col("gap")).cast("int"), F.lit(0))).over(w))
-    rows = rows.withColumn("_r", F.sum(F.coalesce((F.lag("gap").over(back) < F.col("gap")).cast("int"), F.lit(0))).over(back))
-    left = F.first("gap").over(Window.partitionBy(group, "_l").orderBy("pos"))
-    right = F.first("gap").over(Window.partitionBy(group, "_r").orderBy(F.desc("pos")))
-    return rows.withColumn("depth", F.round(left + right - 2 * F.col("gap"), 9)).drop("_l", "_r")
+    """How far each gap lies below the peaks on either side (climbing while not falling).
+
+    A climb is numbered by the falls before it (behind it, to the right), by running sums in buckets.
+    """
+    rows = beside(beside(gaps, group, "gap", -1, "_p"), group, "gap", 1, "_q")
+    rows = rows.withColumn("_back", -F.col("pos"))
+    fall = lambda c: F.coalesce((F.col(c) < F.col("gap")).cast("int"), F.lit(0))
+    rows = stash(running_sum(running_sum(rows, group, "pos", {"_l": fall("_p")}), group, "_back", {"_r": fall("_q")}), "depths")
+    left = rows.groupBy(group, "_l").agg(F.min_by("gap", "pos").alias("left"))
+    right = rows.groupBy(group, "_r").agg(F.max_by("gap", "pos").alias("right"))
+    found = rows.join(left, [group, "_l"]).join(right, [group, "_r"])
+    return found.select(*gaps.columns, F.round(F.col("left") + F.col("right") - 2 * F.col("gap"), 9).alias("depth"))
 
 
 def tile_cuts(depths: DataFrame, group: str = "conv_id") -> DataFrame:
     """Gaps deeper than mean + half a deviation and no shallower than their neighbours."""
-    w, whole = Window.partitionBy(group).orderBy("pos"), Window.partitionBy(group)
-    cutoff = F.avg("depth").over(whole) + F.stddev_pop("depth").over(whole) / 2
-    peak = (F.col("depth") >= F.coalesce(F.lag("depth").over(w), "depth")) & (F.col("depth") >= F.coalesce(F.lead("depth").over(w), "depth"))
-    return depths.withColumn("_c", (F.col("depth") > cutoff + 1e-9) & peak).where("_c").drop("_c")
+    cutoff = depths.groupBy(group).agg((F.avg("depth") + F.stddev_pop("depth") / 2).alias("_c"))
+    rows = beside(beside(depths, group, "depth", -1, "_p"), group, "depth", 1, "_q").join(cutoff, group)
+    peak = (F.col("depth") >= F.coalesce("_p", "depth")) & (F.col("depth") >= F.coalesce("_q", "depth"))
+    return rows.where((F.col("depth") > F.col("_c") + 1e-9) & peak).select(*depths.columns)
 
 
 def tile_segments(vectors: DataFrame, group: str = "conv_id") -> DataFrame:
     """``segment`` of each row: the number of cuts at or before it."""
-    cuts = tile_cuts(tile_depths(tile_gaps(vectors, group), group), group).select(group, "pos", F.lit(1).alias("cut"))
-    w = Window.partitionBy(group).orderBy("pos")
+    depths = stash(tile_depths(tile_gaps(vectors, group), group), "depths")
+    cuts = tile_cuts(depths, group).select(group, "pos", F.lit(1).alias("cut"))
     rows = vectors.drop("vector").join(cuts, [group, "pos"], "left")
-    return rows.withColumn("segment", F.sum(F.coalesce("cut", F.lit(0))).over(w)).drop("cut")
+    return running_sum(rows, group, "pos", {"segment": F.coalesce("cut", F.lit(0))}).drop("cut")
 
 
 def fixed_windows(rows: DataFrame, target: int, group: str = "conv_id") -> DataFrame:

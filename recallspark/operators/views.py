@@ -34,6 +34,21 @@ def with_seq(df: DataFrame, group: str = "conv_id", key: str = "episode_id", buc
     return numbered.join(offsets, [group, "_b"]).withColumn("seq", F.col("_o") + F.col("_n")).drop("_b", "_n", "_o")
 
 
+def running_sum(df: DataFrame, group: str, order: str, values: dict[str, Column], bucket: int = 10_000) -> DataFrame:
+    """``df`` with running sums (inclusive) of ``values`` in the order of a whole number that is unique in its group.
+
+    As in ``with_seq``, sums inside buckets are added to those of the buckets before,
+    so no task sorts a whole group.
+    """
+    keyed = df.select("*", *[c.alias(f"_v_{k}") for k, c in values.items()], F.floor(F.col(order) / bucket).alias("_b"))
+    totals = keyed.groupBy(group, "_b").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values])
+    before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(group, "_b", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in values])
+    inside = Window.partitionBy(group, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = keyed.withColumns({f"_s_{k}": F.sum(f"_v_{k}").over(inside) for k in values}).join(offsets, [group, "_b"])
+    return joined.select(*df.columns, *[(F.col(f"_o_{k}") + F.col(f"_s_{k}")).alias(k) for k in values])
+
+
 def episodes(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """conv_id, episode_id, text and ``more`` columns of each episode."""
     raw = F.col("raw_text")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -38,6 +39,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This session's own folder for intermediate tables; deleted by ``release``, at the latest when Python ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{shared_dir(spark)}/recallspark/run-{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(release, spark)
+    return _FOLDERS[app]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this session's intermediate tables. Frames that read them are of no use afterwards."""
+    try:
+        folder = _FOLDERS.pop(spark.sparkContext.applicationId, None)
+        if folder:
+            jvm = spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session is gone, and with it the way to its files
+        return
+
+
 def stash(df: DataFrame, label: str = "t") -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder and read it back.
 
@@ -45,7 +70,7 @@ def stash(df: DataFrame, label: str = "t") -> DataFrame:
     give exact row counts without a pass over the data.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/recallspark/{label}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

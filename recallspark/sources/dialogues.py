@@ -20,6 +20,17 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(F.from_json("value", SAMPLE)).alias("sample_id", "s")).select("sample_id", "s.qa", "s.conversation")
 
 
+def require(samples: DataFrame) -> None:
+    """Fail where a sample lacks its questions, its conversation, a speaker, or a question its text: one pass over all samples."""
+    lacking = {
+        "qa": F.col("qa").isNull(), "conversation": F.col("conversation").isNull(), "question": F.exists(F.coalesce("qa", F.array()), lambda q: q["question"].isNull()),
+        "speaker_a": F.try_element_at("conversation", F.lit("speaker_a")).isNull(), "speaker_b": F.try_element_at("conversation", F.lit("speaker_b")).isNull(),
+    }
+    found = samples.agg(*[F.min(F.when(c, F.col("sample_id"))).alias(k) for k, c in lacking.items()]).first().asDict()
+    if missing := {k: v for k, v in found.items() if v is not None}:
+        raise KeyError("missing in samples: " + ", ".join(f"{k} (first in {v})" for k, v in missing.items()))
+
+
 def turns(samples: DataFrame) -> DataFrame:
     """One row per turn of the sessions that have a stamp; captions of images in front of the text."""
     entries = samples.select("sample_id", "conversation", F.explode("conversation").alias("key", "value"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -69,26 +70,81 @@ def run_available(df: DataFrame, checkpoint: str, out: str, mode: str = "complet
 
 
 SEGMENT = "conv_id string, segment bigint, first_at timestamp, utterances bigint, tokens bigint"
+STATE = "number bigint, held bigint, size bigint, first double, last double, words array<string>"
 
 
-def segment_state(most: int = 800, least: int = 500, gap_s: float = 300.0):
-    """State function for ``applyInPandasWithState``: segments that close at a token ceiling or a pause."""
+def segment_state(most: int = 800, least: int = 500, gap_s: float = 300.0, min_overlap: float = 0.15, idle_s: float | None = None):
+    """State function for ``applyInPandasWithState``: segments that close at a token ceiling, a pause or a change of topic.
+
+    Rows: conv_id, ts, and text or tokens (topics are judged by texts). The last segment of a conversation comes out when no row
+    has come for ``idle_s`` (by default the pause): the state then times out, which
+    needs ``timeoutConf="ProcessingTimeTimeout"`` or, with a watermark on ``ts``, ``"EventTimeTimeout"``.
+    Rows of a batch are taken in the order of their time; a row later than the watermark
+    never gets here, one that comes late but within it joins the segment open by then.
+    """
+    word = re.compile(r"\w+")
+    wait = gap_s if idle_s is None else idle_s
+
+    def out(key, rows: list) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], number, pd.Timestamp(first, unit="s"), held, size) for number, first, held, size in rows], columns=["conv_id", "segment", "first_at", "utterances", "tokens"])
 
     def step(key, frames: Iterator[pd.DataFrame], state):
-        number, held, size, first, last = state.get if state.exists else (0, 0, 0, 0.0, 0.0)
-        out = []
-        rows = pd.concat(list(frames)).sort_values("ts")
-        for ts, n in zip(rows["ts"], rows["tokens"]):
-            at = ts.timestamp()
-            if held and ((size + n > most and size >= least) or at - last > gap_s):
-                out.append((key[0], number, pd.Timestamp(first, unit="s"), held, size))
-                number, held, size = number + 1, 0, 0
+        number, held, size, first, last, words = state.get if state.exists else (0, 0, 0, 0.0, 0.0, [])
+        words = set(words)
+        if state.hasTimedOut:
+            state.update((number + 1, 0, 0, 0.0, 0.0, []))
+            yield out(key, [(number, first, held, size)] if held else [])
+            return
+        closed = []
+        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
+        texts = rows["text"] if "text" in rows else [None] * len(rows)
+        counts = rows["tokens"] if "tokens" in rows else [len((t or "").split()) for t in texts]
+        for ts, text, n in zip(rows["ts"], texts, counts):
+            at, n, own = ts.timestamp(), int(n), set(word.findall((text or "").lower()))
+            shared = len(words & own) / len(words | own) if words and own else 0.0
+            if held and ((size + n > most and size >= least) or at - last > gap_s or (size >= least and text is not None and shared < min_overlap)):
+                closed.append((number, first, held, size))
+                number, held, size, words = number + 1, 0, 0, set()
             first = at if not held else first
-            held, size, last = held + 1, size + int(n), at
-        state.update((number, held, size, first, last))
-        yield pd.DataFrame(out, columns=["conv_id", "segment", "first_at", "utterances", "tokens"])
+            held, size, last, words = held + 1, size + n, at, words | own
+        state.update((number, held, size, first, last, sorted(words)))
+        if held:
+            try:
+                state.setTimeoutTimestamp(max(int((last + wait) * 1000), state.getCurrentWatermarkMs() + 1))
+            except Exception:  # noqa: BLE001 - not event time
+                try:
+                    state.setTimeoutDuration(max(1, int(wait * 1000)))
+                except Exception:  # noqa: BLE001 - no timeout configured: the last segment stays open
+                    pass
+        yield out(key, closed)
 
     return step
 
 
-STATE = "number bigint, held bigint, size bigint, first double, last double"
+def count_fresh(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that counts, for each group of ``path``/groups, the episodes it gained: what a summary lacks.
+
+    Counts are appended per batch, so a repeated batch replaces itself; ``dirty_of`` sums them.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        index = batch.sparkSession.read.parquet(f"{path}/groups")
+        found = index.join(batch.select("episode_id").distinct(), "episode_id", "left_semi").groupBy("conv_id", "group_id").agg(F.count("*").alias("new_since"))
+        found.write.mode("overwrite").parquet(f"{path}/dirty/batch={number}")
+
+    return write
+
+
+def dirty_of(spark: SparkSession, path: str, after: int = -1) -> DataFrame:
+    """Episodes each group gained in the batches after the one its summary was made in."""
+    rows = spark.read.parquet(f"{path}/dirty").where(F.col("batch") > after)
+    return rows.groupBy("conv_id", "group_id").agg(F.sum("new_since").alias("new_since"))
+
+
+def late_rows(batch: DataFrame, ts: str, seen: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Rows that a watermark would drop, for a batch that must keep them: those older than the newest one seen by more than ``late``.
+
+    The policy: within the watermark rows join by their time; beyond it they are appended at the tail by a batch job.
+    """
+    newest = seen.agg(F.max(ts).alias("_newest"))
+    return batch.join(F.broadcast(newest)).where(F.col(ts) < F.col("_newest") - F.expr(f"INTERVAL {late}")).drop("_newest")  # one row
