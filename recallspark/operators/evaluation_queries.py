@@ -259,7 +259,7 @@ SQL = {
     "running_metrics": f"{_Q}{_R}, w AS (SELECT run_name, row_number() OVER o AS n, avg(f1) OVER (PARTITION BY run_name ORDER BY pq_id ROWS UNBOUNDED PRECEDING) AS f1, avg(hit_10) OVER (PARTITION BY run_name ORDER BY pq_id ROWS UNBOUNDED PRECEDING) AS hit_10 FROM rm WHERE run_name IS NOT NULL WINDOW o AS (PARTITION BY run_name ORDER BY pq_id)) SELECT run_name, n, round(f1, 6) AS f1, round(hit_10, 6) AS hit_10 FROM w WHERE n % 10 = 0",
     "abstentions": f"WITH {V.SQL_QUESTIONS}, b AS (SELECT run_name, trim(regexp_replace(trim(prediction), '^```[A-Za-z]*\\s*|\\s*```$', '', 'g')) AS bare FROM qs), f AS (SELECT run_name, coalesce(CASE WHEN starts_with(bare, '{{') AND json_valid(bare) THEN json_extract_string(bare, '$.answer') END, bare) AS x FROM b), a AS (SELECT run_name, trim(regexp_replace(trim(regexp_replace(x, '(?i)^\\s*answer\\s*:\\s*', '')), '^[\"'']|[\"'']$', '', 'g')) AS a FROM f) SELECT run_name, count(*) AS n, count_if(starts_with(upper(trim(coalesce(a, ''))), 'NOT_FOUND')) AS abstained FROM a GROUP BY run_name",
     "stage_costs": f"{_COST} SELECT pq_id, round(t, 5) AS total_s, round(r, 5) AS reader_s, round(e, 5) AS embed_s, round(j, 5) AS rerank_s, round(greatest(0, t - r - e - j), 5) AS retrieval_other_s, round(t - r, 5) AS retrieval_s FROM sc",
-    "cost_summary": f"{_COST}, {V.SQL_QUESTIONS}, l AS (SELECT coalesce(run_name, 'none') AS run, unnest([{{'k': 'total_s', 'v': round(t, 6)}}, {{'k': 'reader_s', 'v': round(r, 6)}}, {{'k': 'embed_s', 'v': round(e, 6)}}, {{'k': 'rerank_s', 'v': round(j, 6)}}, {{'k': 'retrieval_other_s', 'v': round(greatest(0, t - r - e - j), 6)}}, {{'k': 'retrieval_s', 'v': round(t - r, 6)}}]) AS s FROM sc JOIN qs USING (pq_id)), o AS (SELECT run, s.k AS timing, s.v AS v, row_number() OVER (PARTITION BY run, s.k ORDER BY s.v) AS i, count(*) OVER (PARTITION BY run, s.k) AS n FROM l) SELECT run, timing, max(n) AS n, round(sum(v), 2) AS sum, round(avg(v), 3) AS mean, round(max(CASE WHEN i = round_even(0.5::DOUBLE * (n - 1), 0) + 1 THEN v END), 3) AS p50, round(max(CASE WHEN i = round_even(0.95::DOUBLE * (n - 1), 0) + 1 THEN v END), 3) AS p95 FROM o GROUP BY run, timing",
+    "cost_summary": f"{_COST}, {V.SQL_QUESTIONS}, l AS (SELECT coalesce(run_name, 'none') AS run, unnest([{{'k': 'total_s', 'v': round(t, 6)}}, {{'k': 'reader_s', 'v': round(r, 6)}}, {{'k': 'embed_s', 'v': round(e, 6)}}, {{'k': 'rerank_s', 'v': round(j, 6)}}, {{'k': 'retrieval_other_s', 'v': round(greatest(0, t - r - e - j), 6)}}, {{'k': 'retrieval_s', 'v': round(t - r, 6)}}]) AS s FROM sc JOIN qs USING (pq_id)), o AS (SELECT run, s.k AS timing, s.v AS v, row_number() OVER (PARTITION BY run, s.k ORDER BY s.v) AS i, count(*) OVER (PARTITION BY run, s.k) AS n FROM l) SELECT run, timing, max(n) AS n, round(round(sum(v), 3), 2) AS sum, round(round(avg(v), 4), 3) AS mean, round(round(max(CASE WHEN i = round_even(0.5::DOUBLE * (n - 1), 0) + 1 THEN v END), 4), 3) AS p50, round(round(max(CASE WHEN i = round_even(0.95::DOUBLE * (n - 1), 0) + 1 THEN v END), 4), 3) AS p95 FROM o GROUP BY run, timing",
     "ledger_since": f"WITH {V.SQL_CALLS} SELECT coalesce(role, 'none') AS role, count(*) AS calls, CAST(sum(coalesce(prompt_tokens, 0)) AS BIGINT) AS prompt_tokens, CAST(sum(coalesce(completion_tokens, 0)) AS BIGINT) AS completion_tokens, round(sum(latency_s), 3) AS latency_s, count_if(NOT coalesce(ok, true)) AS failed, count_if(coalesce(truncated, false)) AS truncated, count_if(coalesce(output_capped, false)) AS output_capped, count_if(coalesce(transport_failed, false)) AS transport_failed FROM cl WHERE call_id >= (SELECT max(call_id) / 2 FROM cl) GROUP BY ALL",
     "verdicts": f"WITH {V.SQL_QUESTIONS}, v AS (SELECT run_name, upper(coalesce(prediction, '')) AS u, regexp_matches(coalesce(prediction, ''), '^\\{{.*\\}}$') AS j FROM qs) SELECT run_name, count(*) AS n, count_if(j OR contains(u, 'WRONG') OR contains(u, 'CORRECT')) AS judged FROM v GROUP BY run_name",
     "confidence_features": f"WITH {V.SQL_EPISODES}, v AS (SELECT episode_id, list_transform(embedding, lambda x: -abs(x::DOUBLE)) AS l FROM ep WHERE {V.sql_usable('embedding')}) SELECT episode_id, round(list_avg(l), 6) AS lp_mean, round(list_min(l), 6) AS lp_min, round(list_sum(l), 6) AS lp_sum, round(list_avg(list_transform(l, lambda x: -x / 2)), 6) AS lp_margin_mean, round(list_min(list_transform(l, lambda x: -x / 2)), 6) AS lp_margin_min, CAST(len(l) AS INTEGER) AS n_tokens FROM v",
