@@ -26,7 +26,7 @@ from recallspark.session import stash, table
 def _sequence(spark, d):
     e = V.episodes(spark, d, "embedding").where(usable(F.col("embedding"), 96))
     s = V.with_seq(e.select("conv_id", "episode_id", unit(F.col("embedding")).alias("vector")))
-    return s.withColumnRenamed("seq", "pos")
+    return stash(s.withColumnRenamed("seq", "pos"), "vectors")
 
 
 def texttile_gaps(spark, d):

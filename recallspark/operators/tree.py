@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +25,7 @@ WORD, LONG_WORD, CAPITAL = re.compile(r"\w+"), re.compile(r"\b[a-zA-Z]{5,}\b"),
 LEAF, FAN_OUT, ANCHORS, BY_ANCHORS, BY_SENTENCE = 6, 4, 8, 0.4, 0.25
 
 
+@lru_cache(100_000)
 def stem(word: str) -> str:
     return next((word[: -len(s)] for s in SUFFIXES if word.endswith(s) and len(word) - len(s) >= 3), word)
 
@@ -35,14 +37,28 @@ def within_one(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :]
 
 
-def overlap(wanted: set[str], have: set[str]) -> float:
-    """Share of the wanted words whose stem is there, or within one edit if both are short."""
-    if not wanted or not have:
-        return 0.0
-    stems = {stem(w) for w in have}
-    short = [s for s in stems if len(s) <= 6]
-    hit = lambda s: s in stems or len(s) <= 6 and any(within_one(s, x) for x in short)
-    return sum(hit(stem(w)) for w in wanted) / len(wanted)
+def shorter(word: str) -> set[str]:
+    """The word and what one deletion leaves: words within one edit share one of these."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+class Stems:
+    """A text's stems, with those of six letters or fewer under all they share with a word within one edit."""
+
+    def __init__(self, words) -> None:
+        self.all = {stem(w) for w in words}
+        self.near: dict[str, list[str]] = {}
+        for s in self.all:
+            if len(s) <= 6:
+                for v in shorter(s):
+                    self.near.setdefault(v, []).append(s)
+
+    def share(self, wanted: list[str]) -> float:
+        """Share of the wanted stems that are there, or within one edit of one if both are short."""
+        if not wanted or not self.all:
+            return 0.0
+        like = lambda s: len(s) <= 6 and any(within_one(s, x) for v in shorter(s) for x in self.near.get(v, ()))
+        return sum(s in self.all or like(s) for s in wanted) / len(wanted)
 
 
 @dataclass
@@ -55,7 +71,8 @@ class Node:
     text: str = ""
     anchors: list[str] = field(default_factory=list)
     entities: list[str] = field(default_factory=list)
-    words: set[str] = field(default_factory=set)
+    words: Stems | None = None
+    anchored: Stems | None = None
     first_seq: int = -1
     last_seq: int = -1
     first_at: str | None = None
@@ -66,7 +83,7 @@ class Node:
         """What follows from episodes or children."""
         if self.episodes is not None:
             parts, self.text = self.episodes, "\n".join(e["text"] for e in self.episodes)
-            self.words = set(WORD.findall(self.text.lower()))
+            self.words = Stems(WORD.findall(self.text.lower()))
             seqs, stamps = [e["seq"] for e in parts], [e["stamp"] for e in parts if e["stamp"]]
             self.first_seq, self.last_seq = min(seqs), max(seqs)
             self.first_at, self.last_at = min(stamps, default=None), max(stamps, default=None)
@@ -76,7 +93,7 @@ class Node:
         head = next((c.text for c in self.children if c.text), "").strip()
         self.anchors = [w for w, _ in Counter(w.lower() for w in LONG_WORD.findall(whole)).most_common(ANCHORS)]
         self.text = (re.split(r"(?<=[.!?])\s+", head)[0] or head)[:200]
-        self.words = set(WORD.findall(self.text.lower()))
+        self.words, self.anchored = Stems(WORD.findall(self.text.lower())), Stems(self.anchors)
         self.entities = [w for w in dict.fromkeys(CAPITAL.findall(whole)) if w not in STOP_CAPITALS][:5]
         held = [c for c in self.children if c.first_seq >= 0]
         self.first_seq, self.last_seq = (min(c.first_seq for c in held), max(c.last_seq for c in held)) if held else (-1, -1)
@@ -84,10 +101,10 @@ class Node:
         self.last_at = max((c.last_at for c in held if c.last_at), default=None)
         self.images = sum(c.images for c in self.children)
 
-    def score(self, words: set[str]) -> float:
+    def score(self, wanted: list[str]) -> float:
         if self.episodes is not None:
-            return overlap(words, self.words)
-        return BY_ANCHORS * overlap(words, set(self.anchors)) + BY_SENTENCE * overlap(words, self.words)
+            return self.words.share(wanted)
+        return BY_ANCHORS * self.anchored.share(wanted) + BY_SENTENCE * self.words.share(wanted)
 
 
 class Tree:
@@ -97,7 +114,7 @@ class Tree:
         self.root = Node()
 
     def insert(self, episode: dict) -> None:
-        words, at = set(WORD.findall(episode["text"].lower())), self.root
+        words, at = [stem(w) for w in set(WORD.findall(episode["text"].lower()))], self.root
         while at.episodes is None and at.children:
             at = max(at.children, key=lambda c: c.score(words))  # the first of equals
         if at.episodes is None:
