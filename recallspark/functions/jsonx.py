@@ -6,6 +6,7 @@ import json
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -69,6 +70,16 @@ def salvage_object(text: str | None) -> str | None:
     return None
 
 
+def items_of(found: Column, name: str, schema: str) -> Column:
+    """The objects of the array ``name`` of a JSON object, each read by itself, so one that does not fit costs none of the others.
+
+    Items that are no objects are left out; a field of another type than its own is NULL.
+    """
+    texts = F.from_json(found, f"{name} array<string>")[name]
+    objects = F.filter(F.coalesce(texts, F.array().cast("array<string>")), lambda x: F.trim(x).startswith("{"))
+    return F.transform(objects, lambda x: F.from_json(x, schema))
+
+
 @F.pandas_udf(StringType())
 def first_json_object(text: pd.Series) -> pd.Series:
     return text.map(balanced_object)

@@ -24,9 +24,14 @@ STOP_CAPITALS = (
 #: Names of the question categories.
 CATEGORIES = {1: "multi_hop", 2: "temporal", 3: "open_domain", 4: "single_hop", 5: "adversarial"}
 
+#: How an episode's text names its date and speaker, and what counts as a name.
 ATTRIBUTION = r"(?m)^\s*(?:DATE:[^|\n]*\|\s*)?(?:[A-Z][\w'-]*(?:\s+[A-Z][\w'-]*)?\s+says:\s*)"
 
 
+SPEAKER = r"Speaker\s+([A-Z][A-Za-z\-']+)\s+says"
+CAPITALISED = r"\b([A-Z][a-z]{2,})\b"
+
+
 def bound(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Column:
     """``f`` of both columns, each evaluated once a row, also where ``f`` uses them in lambdas."""
     return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda s: f(s["a"], s["b"]))[0]
@@ -77,11 +82,11 @@ def fuzzy_overlap(query: Column, doc: Column) -> Column:
 
 def speakers_of(text: Column) -> Column:
     """Names in ``Speaker X says``."""
-    return F.regexp_extract_all(text, F.lit(r"Speaker\s+([A-Z][A-Za-z\-']+)\s+says"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(SPEAKER), F.lit(1))
 
 
 def capitalised(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]{2,})\b"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(CAPITALISED), F.lit(1))
 
 
 def split_sentences(text: Column) -> Column:

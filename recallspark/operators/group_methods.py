@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallspark.functions.jsonx import salvaged_json
+from recallspark.functions.jsonx import items_of, salvaged_json
 from recallspark.functions.text import strip_attribution
 from recallspark.functions.vectors import unit
 from recallspark.models import Encoder, call_column
@@ -396,7 +396,7 @@ def judged_aliases(pairs: DataFrame, model) -> DataFrame:
     line = F.concat(F.col("n").cast("string"), F.lit(". "), "short", F.lit(" / "), "long")
     prompts = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "\n").alias("p"))
     said = call_column(prompts.select("conv_id", fill(ALIASES, pairs=F.col("p")).alias("prompt")), "prompt", model, max_tokens=1024, temperature=0.0)
-    v = said.select("conv_id", F.explode(F.from_json(salvaged_json("call.text"), "pairs array<struct<n:string,same:string,canonical:string>>")["pairs"]).alias("v"))
+    v = said.select("conv_id", F.explode(items_of(salvaged_json("call.text"), "pairs", "n string, same string, canonical string")).alias("v"))
     v = v.select("conv_id", F.col("v.n").try_cast("int").alias("n"), F.lower("v.same").alias("same"), F.trim("v.canonical").alias("canonical"))
     one = v.where((F.col("same") == "true") & F.col("n").isNotNull()).groupBy("conv_id", "n").agg(F.max("canonical").alias("canonical"))
     return rows.join(one, ["conv_id", "n"]).where(F.col("canonical").isin(F.col("short"), F.col("long"))).select("conv_id", "short", "long", "canonical")

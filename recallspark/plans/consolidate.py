@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallspark.functions.jsonx import first_json_object
+from recallspark.functions.jsonx import first_json_object, items_of
 from recallspark.models import Encoder, HashEncoder, call_column, encode_column
 from recallspark.operators import notes as O
 from recallspark.plans.reader import fill
@@ -28,8 +28,8 @@ ADJUDICATE = (
     "Each pair holds an earlier and a later note. Say how the later relates to the earlier: same (says it again), update (replaces it), conflict (both cannot be true), "
     'independent.\n\n{pairs}\n\nReply with JSON alone: {"relations": [{"pair": 1, "relation": "...", "reason": "a few words"}]}'
 )
-NOTES = "notes array<struct<subject:string,attribute:string,statement:string,event_time:string>>"
-RELATIONS = "relations array<struct<pair:string,relation:string,reason:string>>"
+ITEM = "subject string, attribute string, statement string, event_time string"
+RELATION = "pair string, relation string, reason string"
 NOTE = (
     "conv_id string, note_id string, subject string, attribute string, statement string, event_time string, recorded_time string, valid_from string, valid_until string, "
     "status string, superseded_by string, provenance array<string>, evidence_ids array<string>, session string, order bigint, embedding array<float>"
@@ -73,9 +73,9 @@ def extract(sessions: DataFrame, known: DataFrame, model, cfg: ConsolidationConf
     rows = sessions.join(known, ["conv_id", "session"], "left")
     text = fill(EXTRACT, date=F.col("session"), known=block, transcript=F.col("transcript"))
     done = call_column(rows.withColumn("prompt", text), "prompt", model, max_tokens=cfg.extract_tokens, temperature=0.0)
-    items = F.from_json(first_json_object("call.text"), NOTES)["notes"]
+    items = items_of(first_json_object("call.text"), "notes", ITEM)
     tidy = lambda c: F.trim(F.coalesce(c, F.lit("")))
-    fine = F.filter(F.slice(F.coalesce(items, F.array()), 1, cfg.most_notes), lambda n: (tidy(n["subject"]) != "") & (tidy(n["statement"]) != ""))
+    fine = F.filter(F.slice(items, 1, cfg.most_notes), lambda n: (tidy(n["subject"]) != "") & (tidy(n["statement"]) != ""))
     n = done.select("conv_id", "session", "ids", "evidence", F.posexplode(fine).alias("at", "n"))
     event = F.when(~F.lower(tidy(F.col("n.event_time"))).isin("", "null"), F.trim("n.event_time"))
     return n.select(
@@ -103,7 +103,7 @@ def adjudicate(pairs: DataFrame, notes: DataFrame, model, cfg: ConsolidationConf
     rows = stash(rows.select("group", "call_no", "pair", "old_id", "new_id", "fallback", line.alias("line")), "pairs")
     calls = rows.groupBy("group", "call_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pair", "line"))), lambda x: x["line"]), "\n").alias("pairs"))
     done = call_column(calls.withColumn("prompt", fill(ADJUDICATE, pairs=F.col("pairs"))), "prompt", model, max_tokens=cfg.adjudicate_tokens, temperature=0.0)
-    answers = done.select("group", "call_no", F.explode(F.from_json(first_json_object("call.text"), RELATIONS)["relations"]).alias("r"))
+    answers = done.select("group", "call_no", F.explode(items_of(first_json_object("call.text"), "relations", RELATION)).alias("r"))
     answers = answers.select("group", "call_no", F.col("r.pair").try_cast("int").alias("pair"), F.lower(F.trim("r.relation")).alias("said"), F.coalesce("r.reason", F.lit("")).alias("why"))
     answers = answers.where(F.col("pair").isNotNull()).groupBy("group", "call_no", "pair").agg(F.max("said").alias("said"), F.max("why").alias("why"))
     judged = rows.join(answers, ["group", "call_no", "pair"], "left")

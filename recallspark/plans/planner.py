@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallspark.functions.jsonx import salvaged_json
+from recallspark.functions.jsonx import items_of, salvaged_json
 from recallspark.models import call_column
 from recallspark.plans.reader import fill
 
@@ -21,7 +21,7 @@ PROMPT = (
     "Plan searches of a memory of conversations.\n\nWHAT IT HOLDS:\n{map}\n\nQUESTION: {question}\n\n{rules} Give terms a search by words would find, and the question each step answers.\n\n"
     'Reply with JSON alone: {"needs_multiple_moments": true or false, "steps": [{"id": "q1", "terms": "...", "question": "..."}]}'
 )
-SCHEMA = "needs_multiple_moments boolean, steps array<struct<id:string,terms:string,scan_terms:string,question:string,inspect_question:string>>"
+STEP = "id string, terms string, scan_terms string, question string, inspect_question string"
 
 
 @dataclass
@@ -59,11 +59,12 @@ def plan(questions: DataFrame, maps: DataFrame, model, cfg: PlannerConfig = Plan
     rows = questions.select("qid", "conv_id", "terms").join(maps.select("conv_id", "map"), "conv_id", "left")
     text = fill(PROMPT, map=F.col("map"), question=F.col("terms"), rules=F.lit(RULES[cfg.style]))
     done = call_column(rows.withColumn("prompt", text), "prompt", model, max_tokens=cfg.max_tokens, temperature=cfg.temperature)
-    read = done.withColumn("p", F.from_json(salvaged_json("call.text"), SCHEMA))
+    found = done.withColumn("found", salvaged_json("call.text"))
+    read = found.withColumns({"several": F.get_json_object("found", "$.needs_multiple_moments"), "listed": items_of(F.col("found"), "steps", STEP)})
     word = lambda s, *names: F.coalesce(*[F.when(F.trim(s[n]) != "", F.trim(s[n])) for n in names])
-    steps = F.transform(F.coalesce("p.steps", F.array()), lambda s: F.struct(
+    steps = F.transform("listed", lambda s: F.struct(
         F.coalesce(word(s, "terms", "scan_terms"), word(s, "question", "inspect_question")).alias("terms"), F.coalesce(word(s, "question", "inspect_question"), word(s, "terms", "scan_terms")).alias("question")))
-    most = F.when(F.lit(cfg.style == "adaptive") & ~F.coalesce("p.needs_multiple_moments", F.lit(True)), 1).otherwise(cfg.max_steps)
+    most = F.when(F.lit(cfg.style == "adaptive") & (F.col("several") == "false"), 1).otherwise(cfg.max_steps)
     kept = F.slice(F.filter(steps, lambda s: s["terms"].isNotNull()), F.lit(1), most)
     own = F.array(F.struct(F.col("terms").alias("terms"), F.col("terms").alias("question")))
     read = read.withColumn("kept", kept)

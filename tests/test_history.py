@@ -58,3 +58,16 @@ def test_insert_only_append(spark):
     assert sorted((r.k, r.d) for r in more.collect()) == [("a", 5), ("b", 1)]
     slow, fast = H.split_by_change_rate(spark.createDataFrame([("a", i, str(i), "s") for i in range(5)], "k string, d int, f string, s string"), ["k"], "d", ["f", "s"])
     assert (slow, fast) == (["s"], ["f"])
+
+
+def test_batches_append_to_what_one_build_gives(spark):
+    schema = "k string, d int, v string"
+    rows = [("a", 1, "x"), ("a", 2, "x"), ("a", 3, "y"), ("b", 1, None), ("a", 5, "y"), ("a", 6, "x"), ("b", 4, ""), ("c", 9, "z")]
+    df = spark.createDataFrame(rows, schema)
+    whole = H.append_satellite(None, df, ["k"], "d", ["v"])
+    stored = H.append_satellite(None, df.where("d < 2"), ["k"], "d", ["v"])
+    for lo, hi in ((2, 4), (4, 6), (4, 6), (6, 99)):
+        part = df.where(f"d >= {lo} and d < {hi}").join(stored.select("k", "d"), ["k", "d"], "left_anti")
+        stored = stored.unionByName(H.append_satellite(stored, part, ["k"], "d", ["v"]))
+    view = lambda s: sorted((r.k, r.d, r.v, r.end) for r in H.satellite_view(s, ["k"], "d").collect())
+    assert view(stored) == view(whole) and len(view(whole)) == 6
