@@ -34,7 +34,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +56,23 @@ SIDES = (
     "pq_id bigint, side string, run_name string, words array<string>, stop boolean, inner_stop boolean, comma boolean, "
     "broken boolean, marked boolean, unclosed boolean, copied boolean, empty boolean, last string, keys array<bigint>, found array<string>, class binary"
 )
+_KINDS = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<bigint>": pa.list_(pa.int64())}
+
+
+def arrow(ddl: str) -> pa.Schema:
+    return pa.schema([(name, _KINDS[kind]) for name, kind in (column.split() for column in ddl.split(", "))])
+
+
+def values(column: pa.Array) -> list:
+    """A column as Python values; lists (never NULL here) are cut from one flat list, which is much faster than item by item."""
+    if not pa.types.is_list(column.type):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    flat, at = column.flatten().to_numpy(zero_copy_only=False).tolist(), (column.offsets.to_numpy() - column.offsets[0].as_py()).tolist()
+    return [flat[i:j] for i, j in zip(at, at[1:])]
+
+
+def record_batch(columns, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 class _Hashes(dict):
@@ -304,34 +321,33 @@ def sides_of(records: DataFrame, rules: Callable[[str | None, str], list[str]] |
     cols = ["run_name", "sample", "question", "gold", "prediction"]
     latest = records.where(F.col("pq_id").isNotNull()).groupBy("pq_id").agg(F.max(F.struct("ingested_at", *cols)).alias("r"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SIDES.split(", ")]
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                for side in ("question", "gold", "prediction"):
-                    out.append(prepare(r.pq_id, side, r.run_name, None if side == "question" else r.question, getattr(r, side), rules))
-            yield pd.DataFrame(out, columns=names)
+    schema = arrow(SIDES)
 
-    return latest.select("pq_id", *[f"r.{c}" for c in cols]).mapInPandas(run, SIDES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                out = []
+                for pq_id, run_name, _, *texts in zip(*map(values, whole.slice(at, 2048).columns)):
+                    for side, text in zip(("question", "gold", "prediction"), texts):
+                        out.append(prepare(pq_id, side, run_name, None if side == "question" else texts[0], text, rules))
+                yield record_batch(zip(*out), schema)
+
+    return latest.select("pq_id", *[f"r.{c}" for c in cols]).mapInArrow(run, SIDES)
 
 
 def ending_counts(sides: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(context hash, ends, total) of the contexts some record closes with, and the words seen whole."""
     shared = sides.sparkSession.sparkContext.broadcast(wanted_filter(sides))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            keys, ends, total, whole = place_endings([(s, list(w)) for s, w in zip(frame["side"], frame["words"])], shared.value)
+    ddl = "key bigint, word string, ends bigint, total bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ends, total, whole = place_endings(list(zip(*map(values, batch.columns))), shared.value)
             none = np.zeros(len(whole), np.int64)
-            yield pd.DataFrame(
-                {
-                    "key": np.concatenate([keys, none]), "word": [None] * len(keys) + list(whole),
-                    "ends": np.concatenate([ends, none]), "total": np.concatenate([total, none]),
-                }
-            )
-
-    counted = sides.select("side", "words").mapInPandas(run, "key bigint, word string, ends bigint, total bigint")
+            yield record_batch([np.concatenate([keys, none]), [None] * len(keys) + list(whole), np.concatenate([ends, none]), np.concatenate([total, none])], arrow(ddl))
+
+    counted = sides.select("side", "words").mapInArrow(run, ddl)
     summed = stash(counted.groupBy("key", "word").agg(F.sum("ends").alias("ends"), F.sum("total").alias("total")), "endings")
     return summed.where(F.col("word").isNull()).select("key", "ends", "total"), summed.where(F.col("word").isNotNull()).select("word")
 
@@ -368,11 +384,13 @@ def goes_on(a: list[str], b: list[str]) -> bool:
 def sentence_classes(sides: DataFrame) -> DataFrame:
     """class, words, open (a text ends with it openly), n (how often), whole (closed by a stop or a gold's end), for five words or more."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    ddl = "class binary, words array<string>, open boolean, n bigint, whole bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             found: dict[bytes, list] = {}
-            for side, tokens, stop, marked in zip(frame["side"], frame["words"], frame["stop"], frame["marked"]):
-                parts = sentences_of(list(tokens))
+            for side, tokens, stop, marked in zip(*map(values, batch.columns)):
+                parts = sentences_of(tokens)
                 for i, (sentence, closed) in enumerate(parts):
                     if not enough_words(sentence):
                         continue
@@ -381,9 +399,10 @@ def sentence_classes(sides: DataFrame) -> DataFrame:
                     row[1] |= last and (not stop or marked)
                     row[2] += 1
                     row[3] += closed or last and side == "gold" and not marked
-            yield pd.DataFrame([(k, *v) for k, v in found.items()], columns=["class", "words", "open", "n", "whole"])
+            if found:
+                yield record_batch([list(found), *zip(*found.values())], arrow(ddl))
 
-    counted = sides.where(F.col("side") != "question").select("side", "words", "stop", "marked").mapInPandas(run, "class binary, words array<string>, open boolean, n bigint, whole bigint")
+    counted = sides.where(F.col("side") != "question").select("side", "words", "stop", "marked").mapInArrow(run, ddl)
     return counted.groupBy("class").agg(F.any_value("words").alias("words"), F.max("open").alias("open"), F.sum("n").alias("n"), F.sum("whole").alias("whole"))
 
 
@@ -394,60 +413,80 @@ def copy_pairs(classes: DataFrame) -> DataFrame:
     return asked.join(held, "band").where(F.col("a") != F.col("b")).select("a", "b").distinct()
 
 
-def continued_copies(sides: DataFrame) -> DataFrame:
-    """(pq_id, side, on, over) of open-ended texts: in how many near-copies the sentence goes on, in how many it ends."""
+def copy_evidence(sides: DataFrame) -> DataFrame:
+    """class, on, over of open sentences: in how many near-copies the sentence goes on, and in how many it ends.
+
+    Only sentences that go on somewhere; what stands whole in the very words counts as ending.
+    """
+    ddl = "class binary, open boolean, n bigint, whole bigint, symbols array<string>, bands array<bigint>"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            symbols = [masked(list(w)) for w in frame["words"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            symbols = [masked(w) for w in values(batch.column("words"))]
             bands = band_keys([[t for t in x if is_word(t)] for x in symbols])
-            yield frame[["class", "open", "n", "whole"]].assign(symbols=symbols, bands=bands)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("class", "open", "n", "whole")], pa.array(symbols, _KINDS["array<string>"]), pa.array(bands, _KINDS["array<bigint>"])], schema=arrow(ddl))
 
-    classes = sentence_classes(sides).mapInPandas(run, "class binary, open boolean, n bigint, whole bigint, symbols array<string>, bands array<bigint>")
-    classes = stash(classes, "classes")
+    classes = stash(sentence_classes(sides).mapInArrow(run, ddl), "classes")
     pairs = copy_pairs(classes.select("class", "open", "bands"))
     pairs = pairs.join(classes.select(F.col("class").alias("a"), F.col("symbols").alias("mine")), "a").join(classes.select(F.col("class").alias("b"), "n", "whole", F.col("symbols").alias("other")), "b")
+    met_ddl = "a binary, on bigint, over bigint"
 
-    def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            met = [meets(list(a), list(b)) for a, b in zip(frame["mine"], frame["other"])]
-            yield frame[["a"]].assign(on=frame["n"].where(np.array(met) > 0, 0), over=frame["whole"].where(np.array(met) < 0, 0))
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, n, whole, mine, other = map(values, batch.columns)
+            met = [meets(x, y) for x, y in zip(mine, other)]
+            yield record_batch([a, [k if m > 0 else 0 for k, m in zip(n, met)], [k if m < 0 else 0 for k, m in zip(whole, met)]], arrow(met_ddl))
 
-    met = pairs.select("a", "n", "whole", "mine", "other").mapInPandas(align, "a binary, on bigint, over bigint")
+    met = pairs.select("a", "n", "whole", "mine", "other").mapInArrow(align, met_ddl)
     found = met.groupBy(F.col("a").alias("class")).agg(F.sum("on").alias("on"), F.sum("over").alias("over")).where("on > 0")
-    found = found.join(classes.select("class", "whole"), "class")
-    opened = sides.where((F.col("side") != "question") & (~F.col("stop") | F.col("marked"))).select("pq_id", "side", "marked", "class")
-    own = F.when(F.col("side") == "gold", (~F.col("marked")).cast("int")).otherwise(0)  # the text itself is no evidence
-    return opened.join(found, "class").select("pq_id", "side", "on", (F.col("over") + F.col("whole") - own).alias("over"))
+    return found.join(classes.select("class", "whole"), "class").select("class", "on", (F.col("over") + F.col("whole")).alias("over"))
+
+
+def is_open() -> Column:
+    return (F.col("side") != "question") & (~F.col("stop") | F.col("marked"))
+
 
+def own_evidence() -> Column:
+    """What a text itself adds to the copies that end: a gold counts as whole."""
+    return F.when(F.col("side") == "gold", (~F.col("marked")).cast("int")).otherwise(0)
 
-def closing_scores(sides: DataFrame) -> DataFrame:
-    """pq_id, side, cut (boolean) and why, for golds and predictions."""
+
+def continued_copies(sides: DataFrame) -> DataFrame:
+    """(pq_id, side, on, over) of open-ended texts with a near-copy that goes on."""
+    opened = sides.where(is_open()).select("pq_id", "side", own_evidence().alias("own"), "class")
+    return opened.join(copy_evidence(sides), "class").select("pq_id", "side", "on", (F.col("over") - F.col("own")).alias("over"))
+
+
+def closing_facts(sides: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the corpus says of closings (c1, c2, best, word) and of last words (word_key, seen, begins).
+
+    Texts that close alike (the same contexts, with or without a stop of their own) are
+    one closing, so a context is looked up once for all of them.
+    """
     counts, vocabulary = ending_counts(sides)
-    closings = sides.where((F.col("side") != "question") & F.col("last").isNotNull())
-    own = ((F.col("side") == "gold") | F.col("stop")).cast("bigint")
-    asked = closings.select("pq_id", "side", own.alias("own"), F.posexplode("keys").alias("n", "key"))
-    needed = asked.select("key").distinct()
-    known = counts.join(needed, "key", "left_semi")
-    scored = asked.join(known, "key").select(
-        "pq_id", "side", "n", (F.col("ends") - F.col("own")).alias("ends"), (F.col("total") - F.col("own")).alias("total")
-    )
-    best = scored.groupBy("pq_id", "side").agg(
+    closings = sides.where((F.col("side") != "question") & F.col("last").isNotNull()).select("keys", *closing_id(), own_end().alias("own"))
+    asked = closings.groupBy("c1", "c2").agg(F.any_value("keys").alias("keys"), F.any_value("own").alias("own")).select("c1", "c2", "own", F.posexplode("keys").alias("n", "key"))
+    scored = asked.join(counts, "key").select("c1", "c2", "n", (F.col("ends") - F.col("own")).alias("ends"), (F.col("total") - F.col("own")).alias("total"))
+    best = scored.groupBy("c1", "c2").agg(
         F.max(F.when(F.col("total") >= SEEN, F.struct("n", "ends", "total"))).alias("best"),
         F.max(F.when(F.col("n") == 0, F.struct("ends", "total"))).alias("word"),
     )
-    lasts = closings.select(F.lower("last").alias("word")).distinct()
-    whole = vocabulary.join(lasts, "word", "left_semi").select("word", F.lit(True).alias("seen"))
-    begun = (
-        vocabulary.select(F.explode(F.expr("transform(sequence(1, greatest(length(word) - 1, 1)), i -> substring(word, 1, i))")).alias("word"))
-        .join(lasts, "word", "left_semi").distinct().select("word", F.lit(True).alias("begins"))
-    )
-    facts = lasts.join(whole, "word", "left").join(begun, "word", "left")
-    rows = (
-        closings.withColumn("word_key", F.lower("last"))
-        .join(facts.withColumnRenamed("word", "word_key"), "word_key", "left")
-        .join(best, ["pq_id", "side"], "left")
-    )
+    lasts = sides.where((F.col("side") != "question") & F.col("last").isNotNull()).select(F.lower("last").alias("word_key")).distinct()
+    parts = F.expr("transform(sequence(1, length(word)), i -> struct(substring(word, 1, i) AS word_key, i = length(word) AS seen))")
+    known = vocabulary.where(F.length("word") > 0).select(F.inline(parts)).groupBy("word_key").agg(F.max("seen").alias("seen"), F.max(~F.col("seen")).alias("begins"))
+    return best, lasts.join(known, "word_key")
+
+
+def own_end() -> Column:
+    return ((F.col("side") == "gold") | F.col("stop")).cast("bigint")
+
+
+def closing_id() -> list[Column]:
+    return [F.xxhash64(F.lit(k), "keys", own_end()).alias(f"c{k}") for k in (1, 2)]
+
+
+def closing_reason() -> Column:
+    """Why a side counts as cut by its ending alone; NULL if it does not."""
     ratio = F.try_divide(F.col("best.ends"), F.col("best.total"))
     seen = F.coalesce(F.col("seen"), F.lit(False)) | F.col("last").rlike(r"^\d+$")
     begins = F.coalesce(F.col("begins"), F.lit(False))
@@ -464,13 +503,19 @@ def closing_scores(sides: DataFrame) -> DataFrame:
         .when(ratio.isNull(), F.when(F.col("inner_stop"), F.lit("closing never seen")))
         .when(ratio < least, F.lit("closing words go on"))
     )
-    return rows.select("pq_id", "side", "run_name", "copied", "empty", why.alias("why"))
+    return F.when(F.col("last").isNotNull(), why)
 
 
 def find_cut(sides: DataFrame) -> DataFrame:
-    """pq_id, side, run_name, cut, why for golds and predictions of prepared ``sides``."""
-    judged = closing_scores(sides).join(continued_copies(sides), ["pq_id", "side"], "left")
-    ends = F.col("over") / (F.col("on") + F.col("over"))
-    why: Column = F.when(ends < LEAST_COPIES, F.lit("a copy goes on")).otherwise(F.col("why"))
+    """pq_id, side, run_name, found, cut, why for golds and predictions of prepared ``sides``."""
+    best, words_known = closing_facts(sides)
+    slim = ["pq_id", "side", "run_name", "found", "last", "broken", "comma", "marked", "unclosed", "stop", "inner_stop", "copied", "empty"]
+    rows = sides.where(F.col("side") != "question").select(
+        *slim, F.lower("last").alias("word_key"), *closing_id(), F.when(is_open(), F.col("class")).alias("class"), own_evidence().alias("own")
+    )
+    judged = rows.join(words_known, "word_key", "left").join(best, ["c1", "c2"], "left").join(copy_evidence(sides), "class", "left")
+    over = F.col("over") - F.col("own")
+    continued = over / (F.col("on") + over) < LEAST_COPIES
+    why = F.when(continued & F.col("last").isNotNull(), F.lit("a copy goes on")).otherwise(closing_reason())
     why = F.when(~F.col("copied") & ~F.col("empty"), why)
-    return judged.select("pq_id", "side", "run_name", why.isNotNull().alias("cut"), why.alias("why"))
+    return judged.select("pq_id", "side", "run_name", "found", why.isNotNull().alias("cut"), why.alias("why"))

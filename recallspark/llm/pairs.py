@@ -186,14 +186,10 @@ def own_defects(question: str | None, text: str | None) -> list[str]:
 
 def find_defects(records: DataFrame) -> DataFrame:
     """pq_id, side, defects (array, in order) of every side with a defect."""
-    sides = stash(sides_of(records, own_defects), "sides")
-    return defects_of(sides, find_cut(sides))
+    return defects_of(find_cut(stash(sides_of(records, own_defects), "sides")))
 
 
-def defects_of(sides: DataFrame, cut: DataFrame) -> DataFrame:
-    """As ``find_defects``, from sides prepared with ``own_defects`` and their cuts."""
-    own = sides.where(F.col("side") != "question").select("pq_id", "side", "found")
-    late = cut.where("cut").select("pq_id", "side", F.lit(True).alias("late"))
-    both = own.join(late, ["pq_id", "side"], "left")
-    every = F.concat("found", F.when(F.col("late") & ~F.array_contains("found", "empty"), F.array(F.lit("truncated"))).otherwise(F.array().cast("array<string>")))
-    return both.select("pq_id", "side", every.alias("defects")).where(F.size("defects") > 0)
+def defects_of(cut: DataFrame) -> DataFrame:
+    """As ``find_defects``, from judged sides that were prepared with ``own_defects``."""
+    late = F.when(F.col("cut") & ~F.array_contains("found", "empty"), F.array(F.lit("truncated"))).otherwise(F.array().cast("array<string>"))
+    return cut.select("pq_id", "side", F.concat("found", late).alias("defects")).where(F.size("defects") > 0)

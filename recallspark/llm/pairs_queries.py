@@ -6,17 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallspark.llm.endings import find_cut, sides_of
-from recallspark.llm.pairs import defects_of, find_defects, own_defects
+from recallspark.llm.pairs import find_defects, own_defects
 from recallspark.session import stash, table
 
 
 def _cut_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions with ``cut``, which is false where the language or refusal rule of problem 5 fires."""
-    sides = stash(sides_of(table(spark, sf_dir, "per_question"), own_defects), "sides")
-    cut = stash(find_cut(sides), "cut")
-    other = defects_of(sides, cut).where(F.array_contains("defects", "language") | F.array_contains("defects", "refusal")).select("pq_id", "side")
-    cut = cut.join(other.withColumn("other", F.lit(True)), ["pq_id", "side"], "left").withColumn("cut", F.col("cut") & F.col("other").isNull())
-    return cut.where(F.col("side") == "prediction")
+    cut = find_cut(stash(sides_of(table(spark, sf_dir, "per_question"), own_defects), "sides"))
+    other = F.array_contains("found", "language") | F.array_contains("found", "refusal")
+    return cut.where(F.col("side") == "prediction").withColumn("cut", F.col("cut") & ~other)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
