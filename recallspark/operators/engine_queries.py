@@ -19,6 +19,7 @@ from recallspark.operators import grouping as G
 from recallspark.operators import notes as O
 from recallspark.operators import segmentation as S
 from recallspark.operators import views as V
+from recallspark.operators.memory_queries import SQL as MEMORY_SQL
 from recallspark.operators.memory_queries import mutual_knn_edges
 from recallspark.plans import reader as A
 from recallspark.plans.consolidate import ConsolidationConfig, consolidate
@@ -275,6 +276,7 @@ f AS (
                     OR (f.size >= 500 AND CASE WHEN len(f.words) > 0 AND len(u.own) > 0 THEN len(list_intersect(f.words, u.own))::DOUBLE / len(list_distinct(list_concat(f.words, u.own))) ELSE 0 END < 0.15)) AS BIGINT) AS cut
         FROM f JOIN u ON u.conv_id = f.conv_id AND u.session_id = f.session_id AND u.i = f.i + 1))"""
 SQL = {
+    "segment_notes": MEMORY_SQL.pop("segment_notes"),
     "stream_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "sliding_windows": "SELECT time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS start, event_type, count(*) AS n FROM events, (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY ALL",
     "routing_tree": f"WITH {V.SQL_EPISODES}, tp AS (SELECT *, max(seq) OVER (PARTITION BY conv_id) AS top FROM ep) {_TREE}",

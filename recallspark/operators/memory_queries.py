@@ -108,11 +108,7 @@ def note_supersede(spark, d):
 
 
 def note_stats(spark, d):
-    n = V.notes(spark, d, "status")
-    return n.agg(
-        F.count("*").alias("notes"), F.sum(O.is_active().cast("bigint")).alias("active"), F.sum((~O.is_active()).cast("bigint")).alias("superseded"),
-        F.countDistinct(F.lower(F.trim("subject"))).alias("subjects"),
-    )
+    return O.note_totals(V.notes(spark, d, "status"), relation_conflicts(spark, d))
 
 
 def note_render(spark, d):
@@ -322,6 +318,10 @@ SQL = {
     "texttile_depth": f"{_SEQ} SELECT conv_id, pos, round(depth, 3) AS depth FROM dp",
     "texttile_segments": f"{_SEQ} SELECT * FROM sg",
     "segment_summary": f"{_SEQ} SELECT conv_id, segment, count(*) AS n, min(episode_id) AS first_id, max(episode_id) AS last_id FROM sg GROUP BY ALL HAVING count(*) >= 3",
+    "segment_notes": f"""{_SEQ}, st AS (SELECT u.conv_id, u.episode_id, u.pos, segment, nullif(session_datetime, '') AS stamp FROM sg JOIN u ON u.conv_id = sg.conv_id AND u.episode_id = sg.episode_id JOIN ep ON ep.episode_id = u.episode_id),
+gr AS (SELECT conv_id, segment, count(*) AS n, arg_min(stamp, CASE WHEN stamp IS NOT NULL THEN pos END) AS event_time, arg_max(stamp, CASE WHEN stamp IS NOT NULL THEN pos END) AS recorded_time FROM st GROUP BY ALL HAVING count(*) >= 3),
+rk AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, segment) AS r FROM gr)
+SELECT conv_id, 'gs-' || left(sha256(conv_id || '|' || CAST(segment AS VARCHAR)), 10) AS note_id, 'group ' || CAST(r - 1 AS VARCHAR) AS subject, CAST(n AS INTEGER) AS members, event_time, recorded_time FROM rk WHERE r <= 60""",
     "fixed_windows": f"WITH {_EP}, n AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM ep) SELECT episode_id, CAST(floor(seq / ceil(n / 8)) AS BIGINT) AS block FROM n",
     "strided_sample": f"WITH {_EP}, n AS (SELECT *, greatest(1, count(*) OVER (PARTITION BY conv_id) // 14) AS step FROM ep) SELECT conv_id, episode_id, seq FROM n WHERE seq % step = 0 AND seq // step < 14",
     "gap_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 3600 SECOND THEN 0 ELSE 1 END AS f FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, f DESC ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS first_at, count(*) AS events FROM s GROUP BY user_id, s",
@@ -334,7 +334,7 @@ SQL = {
     "alias_pairs": f"{_ENT} SELECT * FROM ap",
     "alias_canonical": f"{_ENT}, f AS (SELECT conv_id, short AS name, long AS c FROM ap QUALIFY row_number() OVER (PARTITION BY conv_id, short ORDER BY length(long) DESC, long) = 1) SELECT a.conv_id, a.name, coalesce(d.c, c.c, b.c, a.c) AS canonical FROM f a LEFT JOIN f b ON b.conv_id = a.conv_id AND b.name = a.c LEFT JOIN f c ON c.conv_id = a.conv_id AND c.name = b.c LEFT JOIN f d ON d.conv_id = a.conv_id AND d.name = c.c",
     "note_supersede": f"WITH {_STANDING} SELECT conv_id, note_key, note_id, day, CASE WHEN lead(note_id) OVER w IS NOT NULL THEN 'superseded' ELSE 'active' END AS status, lead(note_id) OVER w AS superseded_by, coalesce(until, lead(day) OVER w) AS valid_until FROM standing WINDOW w AS (PARTITION BY conv_id, note_key ORDER BY day)",
-    "note_stats": f"WITH {_NT} SELECT count(*) AS notes, count_if({_ACTIVE}) AS active, count_if(NOT {_ACTIVE}) AS superseded, count(DISTINCT lower(trim(subject))) AS subjects FROM nt",
+    "note_stats": f"{_REC} SELECT (SELECT count(*) FROM nt) AS notes, (SELECT count_if({_ACTIVE}) FROM nt) AS active, (SELECT count_if(NOT {_ACTIVE}) FROM nt) AS superseded, (SELECT count(DISTINCT lower(trim(subject))) FROM nt) AS subjects, (SELECT count(*) FROM jd WHERE relation2 = 'conflict') AS conflicts",
     "note_render": f"WITH {_NT}, w AS (SELECT *, trim(coalesce(statement, '')) AS s, coalesce(CASE WHEN trim(event_time) <> '' THEN event_time END, CASE WHEN trim(recorded_time) <> '' THEN recorded_time END) AS t FROM nt) SELECT note_id, concat_ws(' ', s, CASE WHEN t IS NOT NULL AND NOT contains(s, t) THEN '(as of ' || t || ')' END, CASE WHEN NOT {_ACTIVE} AND trim(valid_until) <> '' THEN '[superseded on ' || valid_until || ']' END) AS shown FROM w",
     "note_visible": f"WITH {_NT} SELECT conv_id, count(*) AS visible FROM nt WHERE {_ACTIVE} GROUP BY conv_id",
     "review_classes": f"WITH {_NT}, v AS (SELECT conv_id, lower(trim(subject)) || '::' || lower(trim(attribute)) AS note_key, {_PLAIN} AS value, note_id FROM nt WHERE {_ACTIVE}), c AS (SELECT conv_id, note_key, note_id, min(note_id) OVER w AS class_id, count(*) OVER (PARTITION BY conv_id, note_key) - count(*) OVER w AS links FROM v WHERE conv_id IS NOT NULL AND note_key IS NOT NULL WINDOW w AS (PARTITION BY conv_id, note_key, value)) SELECT * FROM c WHERE links > 0",

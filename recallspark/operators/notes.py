@@ -166,6 +166,15 @@ def apply_relations(notes: DataFrame, judged: DataFrame) -> tuple[DataFrame, Dat
     return marked.withColumns(changed).drop("u").select(*notes.columns), against.join(said("a"), "note_a").join(said("b"), "note_b"), judged.groupBy(op.alias("op")).count()
 
 
+def note_totals(notes: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """One row: notes, active and superseded ones, distinct subjects, conflicts."""
+    n = notes.agg(
+        F.count("*").alias("notes"), F.sum(is_active().cast("bigint")).alias("active"), F.sum((~is_active()).cast("bigint")).alias("superseded"),
+        F.countDistinct(F.lower(F.trim("subject"))).alias("subjects"),
+    )
+    return n.join(F.broadcast(conflicts.agg(F.count("*").alias("conflicts"))))  # one row
+
+
 def conflicts_of(conflicts: DataFrame, packs: DataFrame) -> DataFrame:
     """qid and conflict for every conflict of which either note is in the pack. ``packs``: qid, note_id."""
     either = [packs.select("qid", F.col("note_id").alias(side)).join(conflicts, side).select("qid", *conflicts.columns) for side in ("note_a", "note_b")]
