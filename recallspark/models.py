@@ -107,10 +107,16 @@ class OverlapReranker:
 
 @dataclass
 class ExtractiveReader:
-    """Answers with the pack's sentence that shares most words with the question."""
+    """Answers with the pack's sentence that shares most words with the question.
+
+    A prompt is a question line and the pack, or has PASSAGES and a QUESTION.
+    """
 
     def complete(self, prompt: str) -> str:
         question, _, pack = prompt.partition("\n")
+        if "\nQUESTION: " in prompt:
+            pack, _, rest = prompt.partition("\nQUESTION: ")
+            question, pack = rest.partition("\n")[0], pack.partition("PASSAGES:\n")[2]
         want = set(WORD.findall(question.lower()))
         best = max(re.split(r"(?<=[.!?])\s+|\n", pack), key=lambda s: (len(want & set(WORD.findall(s.lower()))), -len(s)), default="")
         return best.strip() or "NOT_FOUND"
