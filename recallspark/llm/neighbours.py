@@ -10,14 +10,16 @@ exact cosine in double precision of the stored vectors.
 Scale. Cells near each other form shards of about ``shard_rows`` rows, so a query
 travels once per shard it probes (about 1.05 times on clustered data), not once
 per cell. A shard that one dense cell makes larger is cut into blocks by hash, with
-its queries sent to each block, so no task holds an unbounded group. A model has at
-most ``max_cells`` cells and is fitted on at most ``max_cells * train_per_cell`` rows
-(131,072, 50 MB). A collection of more than ``max_cells * rows_per_cell`` rows is
-first divided into regions of that size by coarser centroids; each region's model is
-fitted on its own sample in a task of its own and joined to blocks of the region's
-rows, and a query probes further regions by the same margin as further cells. So
-the number of cells grows with the rows, and neither the rows a query meets nor the
-times it travels do. Everything but fitting covers all rows.
+its queries sent to each block, so no task holds an unbounded group. One fit makes at
+most ``max_cells`` cells from at most ``max_cells * train_per_cell`` rows (131,072,
+50 MB). A collection of more than ``max_cells * rows_per_cell`` rows is divided into
+regions of that size by coarser centroids, each fitted on its own sample in a task of
+its own; the cells of all regions are then one model. A vector looks into every region
+near it, but its probes are the best cells over all of them, so it travels no more
+often than with one region and is written once for each shard. The number of cells
+grows with the rows, and the model with it: 1.6 MB a region, sent to every executor,
+at most ``max_regions`` (100 MB); past that cells hold more rows. Everything but
+fitting covers all rows.
 
 Hot copies. A vector stored more than ``max_copies`` times would make one cell
 hold all its copies. Of such a class ``k + 1`` members take part in the search
@@ -53,6 +55,7 @@ class Config:
     k: int = 10
     rows_per_cell: int = 256
     max_cells: int = 4096
+    max_regions: int = 64
     train_per_cell: int = 32
     min_probes: int = 2
     max_probes: int = 16
@@ -68,11 +71,16 @@ class Config:
 
 @dataclass
 class Model:
+    regions: np.ndarray  # coarse centroids
+    starts: np.ndarray  # first cell of each region, and the number of cells
     centroids: np.ndarray
-    books: np.ndarray  # subspaces x codewords x dims
+    books: np.ndarray  # regions x subspaces x codewords x dims
     shard: np.ndarray  # of each cell
     blocks: np.ndarray  # of each shard
 
+    def region_of(self, cells: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, cells, "right") - 1
+
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     """Lloyd's rounds; empty centres restart at random rows."""
@@ -112,8 +120,8 @@ def group_cells(centroids: np.ndarray, mass: np.ndarray, most: float) -> np.ndar
     return shard
 
 
-def fit(sample: np.ndarray, rows: int, cfg: Config) -> Model:
-    """Coarse centroids, residual codebooks and shards from unit vectors."""
+def fit_cells(sample: np.ndarray, rows: float, cfg: Config) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centroids, residual codebooks and the rows of each cell, from unit vectors."""
     rng = np.random.default_rng(cfg.seed)
     if not len(sample):
         sample = np.zeros((1, cfg.dim), np.float32)
@@ -123,11 +131,22 @@ def fit(sample: np.ndarray, rows: int, cfg: Config) -> Model:
     residual = (sample - centroids[near])[rng.choice(len(sample), min(len(sample), 8192), replace=False)]
     width = cfg.dim // cfg.subspaces
     books = [kmeans(np.ascontiguousarray(residual[:, m * width : (m + 1) * width]), cfg.codewords, 6, rng) for m in range(cfg.subspaces)]
-    mass = np.bincount(near, minlength=len(centroids)) / len(near)
-    shard = group_cells(centroids, mass, cfg.shard_rows / max(rows, 1))
-    held = np.bincount(shard, weights=mass) * rows
-    blocks = np.maximum(1, np.ceil(held / (4 * cfg.shard_rows))).astype(np.int32)
-    return Model(centroids.astype(np.float32), np.stack(books).astype(np.float32), shard, blocks)
+    short = max(0, cfg.codewords - len(books[0]))  # a small sample has fewer codewords; none points at the padding
+    books = np.pad(np.stack(books), ((0, 0), (0, short), (0, 0)), constant_values=np.float32(1e9))
+    return centroids.astype(np.float32), books.astype(np.float32), np.bincount(near, minlength=len(centroids)) / len(near) * rows
+
+
+def joined(regions: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], cfg: Config) -> Model:
+    """One model of the cells of all regions."""
+    centroids, held = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
+    shard = group_cells(centroids, held, cfg.shard_rows)
+    blocks = np.maximum(1, np.ceil(np.bincount(shard, weights=held) / (4 * cfg.shard_rows))).astype(np.int32)
+    return Model(regions, np.cumsum([0] + [len(p[0]) for p in parts]), centroids, np.stack([p[1] for p in parts]), shard, blocks)
+
+
+def fit(sample: np.ndarray, rows: int, cfg: Config) -> Model:
+    """Coarse centroids, residual codebooks and shards from unit vectors."""
+    return joined(np.zeros((1, cfg.dim), np.float32), [fit_cells(sample, rows, cfg)], cfg)
 
 
 def usable_arrays(batch: pa.RecordBatch | pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,9 +170,9 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-ROUTED = "kind int, region int, shard int, block int, id string, vec binary, home int, code binary, cells binary"
+ROUTED = "kind int, shard int, block int, id string, vec binary, home int, code binary, cells binary"
 ROUTED_SCHEMA = pa.schema(
-    [("kind", pa.int32()), ("region", pa.int32()), ("shard", pa.int32()), ("block", pa.int32()), ("id", pa.string()), ("vec", pa.binary()), ("home", pa.int32()), ("code", pa.binary()), ("cells", pa.binary())]
+    [("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int32()), ("id", pa.string()), ("vec", pa.binary()), ("home", pa.int32()), ("code", pa.binary()), ("cells", pa.binary())]
 )
 FOUND = "kind int, id string, near array<struct<far:double,id:string>>"
 
@@ -170,17 +189,41 @@ def probed(u: np.ndarray, centroids: np.ndarray, cfg: Config, least: int) -> tup
     return top, use
 
 
-def routed_rows(kind: int, region: int, model: Model, ids: list[str], x: np.ndarray, stored: np.ndarray, cfg: Config) -> pa.RecordBatch:
-    """A row for each shard and block that a vector must visit; ``stored``: whether the region holds it or only asks."""
+def probed_cells(u: np.ndarray, model: Model, cfg: Config) -> tuple[np.ndarray, np.ndarray]:
+    """As ``probed``, over the cells of every region near a vector."""
+    if len(model.regions) == 1:
+        return probed(u, model.centroids, cfg, cfg.min_probes)
+    visited, near = probed(u, model.regions, cfg, 1)
+    best, top = np.full((len(u), cfg.max_probes), -np.inf, np.float32), np.zeros((len(u), cfg.max_probes), np.int64)
+    for r, (lo, hi) in enumerate(zip(model.starts, model.starts[1:])):
+        who = np.flatnonzero((near & (visited == r)).any(1))
+        if not len(who):
+            continue
+        cells, _ = probed(u[who], model.centroids[lo:hi], cfg, 1)
+        c = model.centroids[lo:hi][cells]
+        score = np.einsum("nd,npd->np", u[who], c) - 0.5 * (c**2).sum(2)
+        score, cells = np.concatenate([best[who], score], 1), np.concatenate([top[who], cells + lo], 1)
+        order = np.argsort(-score, axis=1, kind="stable")[:, : cfg.max_probes]
+        best[who], top[who] = np.take_along_axis(score, order, 1), np.take_along_axis(cells, order, 1)
+    use = best >= best[:, :1] - cfg.probe_margin
+    use[:, : cfg.min_probes] = True
+    return top, use & np.isfinite(best)
+
+
+def routed_rows(kind: int, model: Model, ids: list[str], x: np.ndarray, cfg: Config) -> pa.RecordBatch:
+    """A row for each shard and block that a vector must visit."""
     u = unit(x).astype(np.float32)
-    top, use = probed(u, model.centroids, cfg, cfg.min_probes)
+    top, use = probed_cells(u, model, cfg)
     home, width = top[:, 0], cfg.dim // cfg.subspaces
     residual = u - model.centroids[home]
     code = np.empty((len(u), cfg.subspaces), np.uint8)
-    for m, book in enumerate(model.books):
-        code[:, m] = nearest(residual[:, m * width : (m + 1) * width], book)
+    region = model.region_of(home)
+    for r in np.unique(region):
+        of = np.flatnonzero(region == r)
+        for m, book in enumerate(model.books[r]):
+            code[of, m] = nearest(residual[of, m * width : (m + 1) * width], book)
     shards = model.shard[top]
-    out: dict[str, list] = {c: [] for c in ROUTED_SCHEMA.names[2:]}
+    out: dict[str, list] = {c: [] for c in ROUTED_SCHEMA.names[1:]}
     for i, name in enumerate(ids):
         mine = top[i][use[i]]
         where = shards[i][use[i]]
@@ -189,7 +232,7 @@ def routed_rows(kind: int, region: int, model: Model, ids: list[str], x: np.ndar
         for s in dict.fromkeys(where.tolist()):
             cells = mine[where == s].astype(np.int32).tobytes()
             for b in range(int(model.blocks[s])):
-                held = bool(stored[i]) and s == own and b == block
+                held = s == own and b == block
                 out["shard"].append(s)
                 out["block"].append(b)
                 out["id"].append(name)
@@ -197,12 +240,11 @@ def routed_rows(kind: int, region: int, model: Model, ids: list[str], x: np.ndar
                 out["home"].append(int(home[i]) if held else -1)
                 out["code"].append(code[i].tobytes() if held else b"")
                 out["cells"].append(cells)
-    fixed = [pa.array([k] * len(out["id"]), pa.int32()) for k in (kind, region)]
-    return pa.RecordBatch.from_arrays(fixed + [pa.array(out[c], ROUTED_SCHEMA.field(c).type) for c in out], schema=ROUTED_SCHEMA)
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(out["id"]), pa.int32())] + [pa.array(out[c], ROUTED_SCHEMA.field(c).type) for c in out], schema=ROUTED_SCHEMA)
 
 
 def router(kind: int, shared, cfg: Config):
-    """Arrow batches of (id, embedding) to ``ROUTED`` rows of the only region."""
+    """Arrow batches of (id, embedding) to ``ROUTED`` rows."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -211,90 +253,55 @@ def router(kind: int, shared, cfg: Config):
                 rows, x = usable_arrays(batch, cfg.dim)
                 if len(rows):
                     ids = batch.column("id").take(pa.array(rows)).to_pylist()
-                    yield routed_rows(kind, 0, shared.value[kind], ids, x, np.ones(len(x), bool), cfg)
+                    yield routed_rows(kind, shared.value[kind], ids, x, cfg)
 
     return route
 
 
-REGIONAL = "region int, salt int, stored boolean, id string, embedding array<float>"
-MODELS = "region int, salt int, model binary"
-PARTS = "region int, shard int, block int, part binary"
-SALT_ROWS = 65_536
+PLACED = "region int, id string, embedding array<float>"
 
 
-def regional_rows(df: DataFrame, regions: np.ndarray, salts: int, cfg: Config) -> DataFrame:
-    """Each usable vector at its region, and as a query at every further region it probes."""
-    shared = df.sparkSession.sparkContext.broadcast(regions)
+def fit_regions(df: DataFrame, rows: int, cfg: Config) -> Model:
+    """The model of a collection too large for one fit: a fit for each region, in a task of its own."""
+    many = min(-(-rows // (cfg.max_cells * cfg.rows_per_cell)), cfg.max_regions)
+    most = cfg.max_cells * cfg.train_per_cell
+    sample = sample_vectors(df, rows, many * max(cfg.train_per_cell, 256), cfg)
+    if not len(sample):
+        return fit(sample, rows, cfg)
+    regions = kmeans(sample, many, 8, np.random.default_rng(cfg.seed))
+    share = min(1.0, 1.05 * many * most / rows)
+    drawn = df.where(F.pmod(F.xxhash64("id", F.lit(cfg.seed + 1)), F.lit(1_000_003)) < int(share * 1_000_003))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
+    def placer(kept: np.ndarray):
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
                 rows, x = usable_arrays(batch, cfg.dim)
                 if not len(rows):
                     continue
-                top, use = probed(unit(x).astype(np.float32), shared.value, cfg, 1)
-                who, place = np.nonzero(use)
-                ids = batch.column("id").take(pa.array(rows[who]))
-                salt = np.array([hash_of(i) % salts for i in ids.to_pylist()], np.int32)
+                region = nearest(unit(x).astype(np.float32), regions)
+                ids = batch.column("id").take(pa.array(rows))
+                stay = np.array([hash_of(i) % 65_536 for i in ids.to_pylist()]) < kept[region] * 65_536
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(top[who, place].astype(np.int32)), pa.array(salt), pa.array(place == 0), ids, batch.column("embedding").take(pa.array(rows[who]))],
-                    names=["region", "salt", "stored", "id", "embedding"],
+                    [pa.array(region[stay].astype(np.int32)), ids.filter(pa.array(stay)), batch.column("embedding").take(pa.array(rows[stay]))], names=["region", "id", "embedding"]
                 )
 
-    return df.mapInArrow(send, REGIONAL)
-
+        return place
 
-def regional_search(kind: int, df: DataFrame, rows: int, cfg: Config) -> tuple[DataFrame, DataFrame]:
-    """``ROUTED`` rows of a collection too large for one model, and the model's part of every shard and block."""
-    size = cfg.max_cells * cfg.rows_per_cell
-    many = -(-rows // size)
-    # Regions are a few thousand at most; past that, they grow.
-    many = min(many, cfg.max_cells)
-    sample = sample_vectors(df, rows, many * cfg.train_per_cell, cfg)
-    regions = kmeans(sample, many, 8, np.random.default_rng(cfg.seed)) if len(sample) else np.zeros((1, cfg.dim), np.float32)
-    salts = max(1, -(-rows // (many * SALT_ROWS)))
-    regional = stash(regional_rows(df, regions, salts, cfg), "regional")
-    chosen = F.pmod(F.xxhash64("id", F.lit(cfg.seed + 1)), F.lit(1_000_003)) < F.lit(1_000_003.0 * cfg.max_cells * cfg.train_per_cell) / F.col("held")
-    counts = regional.where("stored").groupBy("region").agg(F.count("*").alias("held"))
-    training = regional.where("stored").join(counts, "region").where(chosen).select("region", "held", "id", "embedding")
+    counts = dict(drawn.mapInArrow(placer(np.ones(many)), PLACED).groupBy("region").count().collect())
+    # A region that more rows fall into than one fit takes is thinned before any task holds it.
+    kept = np.array([min(1.0, most / counts.get(r, 1)) for r in range(many)])
 
     def fit_region(table: pa.Table) -> pa.Table:
-        x = unit(usable_arrays(table, cfg.dim)[1]).astype(np.float32)[: cfg.max_cells * cfg.train_per_cell]
-        model = fit(x, table.column("held")[0].as_py(), cfg)
-        n = range(salts)
-        return pa.table({"region": pa.array([table.column("region")[0].as_py()] * salts, pa.int32()), "salt": pa.array(list(n), pa.int32()), "model": pa.array([pickle.dumps(model)] * salts)})
-
-    models = stash(training.groupBy("region").applyInArrow(fit_region, MODELS), "models")
-
-    def route(vectors: pa.Table, model: pa.Table) -> pa.Table:
-        if not vectors.num_rows or not model.num_rows:  # a region without a sampled row holds next to none
-            return ROUTED_SCHEMA.empty_table()
-        rows, x = usable_arrays(vectors, cfg.dim)
-        of, ids = pickle.loads(model.column("model")[0].as_py()), vectors.column("id").to_pylist()
-        stored = vectors.column("stored").to_numpy(zero_copy_only=False)[rows]
-        parts = [
-            routed_rows(kind, vectors.column("region")[0].as_py(), of, [ids[j] for j in rows[at : at + 4096]], x[at : at + 4096], stored[at : at + 4096], cfg)
-            for at in range(0, len(rows), 4096)
-        ]
-        return pa.Table.from_batches(parts, ROUTED_SCHEMA)
-
-    routed = regional.groupBy("region", "salt").cogroup(models.groupBy("region", "salt")).applyInArrow(route, ROUTED)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for region, model in zip(batch.column("region").to_pylist(), batch.column("model").to_pylist()):
-                whole: Model = pickle.loads(model)
-                for s in range(len(whole.blocks)):
-                    cells = np.flatnonzero(whole.shard == s)
-                    part = pickle.dumps((whole.books, cells, whole.centroids[cells]))
-                    n = int(whole.blocks[s])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([region] * n, pa.int32()), pa.array([s] * n, pa.int32()), pa.array(list(range(n)), pa.int32()), pa.array([part] * n)],
-                        names=["region", "shard", "block", "part"],
-                    )
-
-    return routed, models.where("salt = 0").select("region", "model").mapInArrow(cut, PARTS)
+        region = table.column("region")[0].as_py()
+        x = unit(usable_arrays(table.sort_by("id"), cfg.dim)[1]).astype(np.float32)
+        part = fit_cells(x, counts[region] / share, cfg)
+        return pa.table({"region": pa.array([region], pa.int32()), "part": pa.array([pickle.dumps(part)], pa.binary())})
+
+    fitted = drawn.mapInArrow(placer(kept), PLACED).groupBy("region").applyInArrow(fit_region, "region int, part binary").collect()
+    parts = {r.region: pickle.loads(r.part) for r in fitted}
+    if not parts:
+        return fit(np.zeros((0, cfg.dim), np.float32), rows, cfg)
+    return joined(regions[sorted(parts)], [parts[r] for r in sorted(parts)], cfg)
 
 
 def hash_of(name: str) -> int:
@@ -304,29 +311,16 @@ def hash_of(name: str) -> int:
 
 
 def searcher(shared, cfg: Config):
-    """One shard's block with the kind's only model."""
+    """One shard's block with the kind's model."""
 
     def search(table: pa.Table) -> pa.Table:
-        model: Model = shared.value[table.column("kind")[0].as_py()]
-        return search_block(table, model.books, model.centroids, cfg)
-
-    return search
-
-
-def part_searcher(cfg: Config):
-    """One shard's block with its part of its region's model."""
-
-    def search(table: pa.Table, part: pa.Table) -> pa.Table:
-        if not table.num_rows or not part.num_rows:
-            return pa.schema([("kind", pa.int32()), ("id", pa.string()), ("near", pa.list_(pa.struct([("far", pa.float64()), ("id", pa.string())])))]).empty_table()
-        books, cells, centroids = pickle.loads(part.column("part")[0].as_py())
-        return search_block(table, books, dict(zip(cells.tolist(), centroids)), cfg)
+        return search_block(table, shared.value[table.column("kind")[0].as_py()], cfg)
 
     return search
 
 
-def search_block(table: pa.Table, books: np.ndarray, centroids, cfg: Config) -> pa.Table:
-    """ADC over the probed cells, exact rerank, k best per query. ``centroids``: by number of the cell."""
+def search_block(table: pa.Table, model: Model, cfg: Config) -> pa.Table:
+    """ADC over the probed cells, exact rerank, k best per query."""
     kind = table.column("kind")[0].as_py()
     ids = np.array(table.column("id").to_pylist(), dtype=object)
     vec = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float32).reshape(-1, cfg.dim)
@@ -357,11 +351,12 @@ def search_block(table: pa.Table, books: np.ndarray, centroids, cfg: Config) ->
         code = codes[by_cell[lo:hi]]
         queries = asker[np.searchsorted(asked, cell) : np.searchsorted(asked, cell, "right")]
         keep = min(cfg.shortlist, len(members))
+        books = model.books[model.region_of(cell)]
         for at in range(0, len(queries), 256):
             q = queries[at : at + 256]
             parts = u32[q].reshape(len(q), cfg.subspaces, width)
             tables = np.einsum("mkd,qmd->mkq", books, parts, optimize=True)
-            score = np.repeat((u32[q] @ centroids[int(cell)])[None, :], len(members), 0)
+            score = np.repeat((u32[q] @ model.centroids[cell])[None, :], len(members), 0)
             one = np.empty_like(score)
             for m in range(cfg.subspaces):
                 np.take(tables[m], code[:, m], axis=0, out=one, mode="clip")
@@ -423,22 +418,15 @@ def nearest_neighbours(collections: list[DataFrame], cfg: Config = Config()) ->
     tails = None
     if not hot.isEmpty():
         frames, tails = set_copies_apart(frames, hot, cfg)
-    models, found = {}, []
-    sizes = [raw.count() for raw in collections]
-    small = [k for k, rows in enumerate(sizes) if rows <= cfg.max_cells * cfg.rows_per_cell]
-    for k in small:
-        cells = int(np.clip(sizes[k] // cfg.rows_per_cell, 1, cfg.max_cells))
-        models[k] = fit(sample_vectors(frames[k], sizes[k], cells * cfg.train_per_cell, cfg), sizes[k], cfg)
-    if small:
-        shared = spark.sparkContext.broadcast(models)
-        routed = reduce(DataFrame.unionByName, [frames[k].mapInArrow(router(k, shared, cfg), ROUTED) for k in small])
-        found.append(routed.groupBy("kind", "shard", "block").applyInArrow(searcher(shared, cfg), FOUND))
-    by = ["region", "shard", "block"]
-    for k in range(len(frames)):
-        if k not in models:
-            routed, parts = regional_search(k, frames[k], sizes[k], cfg)
-            found.append(routed.groupBy(*by).cogroup(parts.groupBy(*by)).applyInArrow(part_searcher(cfg), FOUND))
-    found = reduce(DataFrame.unionByName, found)
+    models = {}
+    for k, raw in enumerate(collections):
+        rows = raw.count()
+        cells = int(np.clip(rows // cfg.rows_per_cell, 1, cfg.max_cells))
+        one = rows <= cfg.max_cells * cfg.rows_per_cell
+        models[k] = fit(sample_vectors(frames[k], rows, cells * cfg.train_per_cell, cfg), rows, cfg) if one else fit_regions(frames[k], rows, cfg)
+    shared = spark.sparkContext.broadcast(models)
+    routed = reduce(DataFrame.unionByName, [df.mapInArrow(router(k, shared, cfg), ROUTED) for k, df in enumerate(frames)])
+    found = routed.groupBy("kind", "shard", "block").applyInArrow(searcher(shared, cfg), FOUND)
     merged = found.groupBy("kind", "id").agg(F.flatten(F.collect_list("near")).alias("near"))
     near = F.slice(F.array_sort(F.array_distinct("near")), 1, cfg.k)
     result = merged.select("kind", "id", near.alias("near"))
@@ -449,15 +437,18 @@ def set_copies_apart(frames: list[DataFrame], hot: DataFrame, cfg: Config) -> tu
     """Frames with only k + 1 members of each hot class, and the lists of the others."""
     kept_frames, tails = [], None
     for k, df in enumerate(frames):
-        mine = hot.where(F.col("kind") == k).select("print")
+        # A class has more than max_copies rows, so these are few beside the rows, which stay where they are.
+        mine = F.broadcast(hot.where(F.col("kind") == k).select("print"))
         keyed = df.withColumn("print", F.xxhash64("embedding"))
-        members = keyed.join(mine, "print", "left_semi").select("print", "id").distinct()
+        members = keyed.where(F.col("id").isNotNull()).join(mine, "print", "left_semi").select("print", "id").distinct()
         w = Window.partitionBy("print").orderBy("id")
         first = stash(members.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cfg.k + 1), "copies").select("print", "id")
-        plain = keyed.join(mine, "print", "left_anti").select("id", "embedding")
-        kept_frames.append(plain.unionByName(keyed.join(first, ["print", "id"], "left_semi").select("id", "embedding").dropDuplicates(["id"])))
+        last = F.broadcast(first.groupBy("print").agg(F.max("id").alias("last")))
+        marked = keyed.join(last, "print", "left")
+        plain = marked.where(F.col("last").isNull()).select("id", "embedding")
+        kept_frames.append(plain.unionByName(marked.where(F.col("id") <= F.col("last")).select("id", "embedding").dropDuplicates(["id"])))
         heads = first.groupBy("print").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.lit(-1.0).alias("far"), "id"))), 1, cfg.k).alias("near"))
-        rest = members.join(first, ["print", "id"], "left_anti").join(heads, "print")
+        rest = members.join(last, "print").where(F.col("id") > F.col("last")).join(heads, "print")
         part = rest.select(F.lit(k).alias("kind"), "id", "near")
         tails = part if tails is None else tails.unionByName(part)
     return kept_frames, tails

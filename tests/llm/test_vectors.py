@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recallspark.llm.neighbours import Config, exact_search, fit, group_cells, nearest_neighbours, neighbour_pairs
+from recallspark.llm.neighbours import Config, exact_search, fit, fit_cells, group_cells, joined, nearest_neighbours, neighbour_pairs, probed_cells, set_copies_apart
 
 SMALL = Config(dim=8, subspaces=4, codewords=16, rows_per_cell=64, shortlist=60, shard_rows=128, max_copies=20, k=5)
 SCHEMA = "id string, embedding array<float>, kind string, shard int, near string"
@@ -52,6 +52,27 @@ def test_regions_give_the_same_lists(spark):
     assert all(n[0] == i[0] for i, near in got.items() for n in near)
 
 
+def test_regions_write_a_vector_once_a_shard(spark, monkeypatch):
+    from recallspark.llm import neighbours
+
+    rng = np.random.default_rng(4)
+    rows = [(f"v{i:04d}", rng.normal(size=8).astype("float32").tolist()) for i in range(900)]
+    stored = []
+    monkeypatch.setattr(neighbours, "stash", lambda df, label="t": stored.extend(df.columns) or df)
+    lists = nearest_neighbours([frame(spark, rows)], replace(SMALL, rows_per_cell=32, max_cells=8, train_per_cell=64))
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert "embedding" not in stored and "CoGroups" not in plan  # no copy of the vectors beside those at their shards
+    # regions that all vectors are near to: the probes are chosen over all of them
+    x = np.array([v for _, v in rows], np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cfg = replace(SMALL, probe_margin=9.0, max_probes=6)
+    model = joined(np.zeros((4, 8), np.float32), [fit_cells(x[i::4], 225, replace(cfg, rows_per_cell=16, seed=i)) for i in range(4)], cfg)
+    top, use = probed_cells(x, model, cfg)
+    score = x @ model.centroids.T - 0.5 * (model.centroids**2).sum(1)
+    assert use.all() and top.shape == (900, 6)
+    assert np.allclose(np.take_along_axis(score, top, 1), -np.sort(-score, axis=1)[:, :6], atol=1e-5)
+
+
 def test_unusable_rows_and_small_tables(spark):
     nan, inf = float("nan"), float("inf")
     rows = [("a", [1.0] * 8), ("b", [2.0] * 8), ("c", None), ("d", [0.0] * 8), ("e", [nan] + [1.0] * 7), ("f", [inf] + [1.0] * 7), ("g", [1.0]), ("h", [None] + [1.0] * 7), (None, [1.0] * 8), ("i", [1e-30] * 8)]
@@ -73,6 +94,21 @@ def test_hot_copies_stay_whole(spark):
     assert len({(p.id_a, p.id_b) for p in pairs}) == len(pairs) and all(p.id_a < p.id_b for p in pairs)
 
 
+def test_hot_copies_leave_the_vectors_in_place(spark):
+    rows = [(None, [1.0] * 8)] + [(f"v{i}", [float(i + 2)] + [1.0] * 7) for i in range(9)] + [(f"w{i:04d}", [1.0] * 8) for i in range(100)]
+    df = frame(spark, rows).select("id", "embedding")
+    hot = df.groupBy(F.lit(0).alias("kind"), F.xxhash64("embedding").alias("print")).count().where("count > 20")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        (kept,), tails = set_copies_apart([df], hot, SMALL)
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.id for r in kept.collect()) == [f"v{i}" for i in range(9)] + [f"w{i:04d}" for i in range(6)]
+        assert tails.count() == 94 and all([n.id for n in r.near] == [f"w{i:04d}" for i in range(5)] for r in tails.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_shards_are_bounded():
     rng = np.random.default_rng(1)
     c = rng.normal(size=(50, 8)).astype("float32")
