@@ -1,20 +1,31 @@
 """Notes from sessions: extraction, reconciliation with what is known, contradictions.
 
 Sessions of one conversation depend on each other (a session's prompt shows what is
-known by then), those of different conversations do not. So round ``r`` works on the
-r-th session of every conversation at once; the number of rounds is that of the
-longest conversation's sessions. Every model call is a row.
+known by then), those of different conversations do not. So a task takes whole
+conversations, reads their sessions in order as they stream in and keeps of each
+conversation only its active notes; how many jobs run does not depend on the number
+of sessions. ``Ledger`` applies the rules of ``operators.notes`` (``known_facts``,
+``reconcile_candidates``, ``apply_relations``) one session at a time.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, insort
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from recallspark.functions.jsonx import first_json_object, items_of
-from recallspark.models import Encoder, HashEncoder, call_column, encode_column
+from recallspark.functions.jsonx import balanced_object, first_json_object, items_in, items_of
+from recallspark.models import Encoder, HashEncoder, call_column, called
 from recallspark.operators import notes as O
 from recallspark.plans.reader import fill
 from recallspark.session import stash
@@ -35,6 +46,11 @@ NOTE = (
     "status string, superseded_by string, provenance array<string>, evidence_ids array<string>, session string, order bigint, embedding array<float>"
 )
 
+ENDED = "note_id string, superseded_by string, valid_until string"
+CONFLICT = "note_b string, note_a string, reason string, statement_a string, time_a string, statement_b string, time_b string"
+EVENT = ", ".join(f"{k} struct<{v.replace(' ', ':').replace(',:', ',')}>" for k, v in (("note", NOTE), ("ended", ENDED), ("conflict", CONFLICT))) + ", op string, count bigint"
+RELATIONS = ("same", "update", "conflict", "independent")
+
 
 @dataclass
 class ConsolidationConfig:
@@ -48,7 +64,7 @@ class ConsolidationConfig:
 
 
 def sessions_of(episodes: DataFrame) -> DataFrame:
-    """conv_id, session, round, date, transcript, ids, evidence, subjects: sessions in the order of their stamp's text.
+    """conv_id, session, transcript, ids, evidence, subjects of each session, whose name is its stamp's text.
 
     ``episodes``: conv_id, episode_id, seq, text, session, stamp, speakers, evidence_ids. A session is a sitting, so it is one row.
     """
@@ -57,34 +73,153 @@ def sessions_of(episodes: DataFrame) -> DataFrame:
     lines = F.array_sort(F.collect_list(F.struct("seq", "text", "episode_id", F.coalesce("evidence_ids", none).alias("e"), F.coalesce("speakers", none).alias("s"))))
     grouped = rows.groupBy("conv_id", "session").agg(lines.alias("u"))
     part = lambda c: F.transform("u", lambda x: x[c])
-    w = Window.partitionBy("conv_id").orderBy("session")
     return grouped.select(
-        "conv_id", "session", (F.row_number().over(w) - 1).alias("round"), F.array_join(part("text"), "\n").alias("transcript"), part("episode_id").alias("ids"),
+        "conv_id", "session", F.array_join(part("text"), "\n").alias("transcript"), part("episode_id").alias("ids"),
         F.array_distinct(F.flatten(part("e"))).alias("evidence"), F.array_distinct(F.flatten(part("s"))).alias("subjects"),
     )
 
 
-def extract(sessions: DataFrame, known: DataFrame, model, cfg: ConsolidationConfig, order: int) -> DataFrame:
-    """Fresh notes (columns of ``NOTE`` without vectors) of the sessions, by one call each; unreadable replies give none.
+def filled(template: str, **parts: str | None) -> str:
+    """``fill`` outside Spark."""
+    return re.sub(r"\{(" + "|".join(parts) + r")\}", lambda m: parts[m[1]] or "", template)
+
+
+def tidy(text: str | None) -> str:
+    return (text or "").strip(" ")
 
-    ``known``: conv_id, session, facts. Ids follow from conversation, session and position.
+
+class Ledger:
+    """The active notes of one conversation, and what each further session changes.
+
+    ``session`` returns rows of ``EVENT``: notes made, notes ended, conflicts and
+    counted operations. Notes of one session are not held against each other.
     """
-    block = F.when(F.coalesce("facts", F.lit("")) != "", F.concat(F.lit("\nALREADY KNOWN:\n"), "facts", F.lit("\n"))).otherwise(F.lit(""))
-    rows = sessions.join(known, ["conv_id", "session"], "left")
-    text = fill(EXTRACT, date=F.col("session"), known=block, transcript=F.col("transcript"))
-    done = call_column(rows.withColumn("prompt", text), "prompt", model, max_tokens=cfg.extract_tokens, temperature=0.0)
-    items = items_of(first_json_object("call.text"), "notes", ITEM)
-    tidy = lambda c: F.trim(F.coalesce(c, F.lit("")))
-    fine = F.filter(F.slice(items, 1, cfg.most_notes), lambda n: (tidy(n["subject"]) != "") & (tidy(n["statement"]) != ""))
-    n = done.select("conv_id", "session", "ids", "evidence", F.posexplode(fine).alias("at", "n"))
-    event = F.when(~F.lower(tidy(F.col("n.event_time"))).isin("", "null"), F.trim("n.event_time"))
-    return n.select(
-        "conv_id", F.sha2(F.concat_ws("|", "conv_id", "session", "at"), 256).alias("note_id"), tidy(F.col("n.subject")).alias("subject"),
-        F.lower(F.coalesce(F.when(tidy(F.col("n.attribute")) != "", tidy(F.col("n.attribute"))), F.lit("fact"))).alias("attribute"), tidy(F.col("n.statement")).alias("statement"),
-        event.alias("event_time"), F.col("session").alias("recorded_time"), F.coalesce(event, F.col("session")).alias("valid_from"), F.lit(None).cast("string").alias("valid_until"),
-        F.lit("active").alias("status"), F.lit(None).cast("string").alias("superseded_by"), F.col("ids").alias("provenance"), F.col("evidence").alias("evidence_ids"), "session",
-        (F.lit(order) * cfg.most_notes + F.col("at")).cast("bigint").alias("order"),
-    )
+
+    def __init__(self, conv_id: str | None, names: set[str], model, cfg: ConsolidationConfig, encoder: Encoder) -> None:
+        self.conv_id, self.names, self.model, self.cfg, self.encoder = conv_id, names, model, cfg, encoder
+        self.rounds = 0
+        self.active: dict[str, dict] = {}
+        self.told: dict[str, list] = defaultdict(list)  # by subject: (order, id)
+        self.near: dict[str, list] = defaultdict(list)  # by subject or entity: (when, id)
+
+    def session(self, row: dict) -> list[dict]:
+        fresh = self.extract(row)
+        made = {n["note_id"]: n for n in fresh}
+        judged = self.adjudicate(self.candidates(fresh), made)
+        events = [{"note": {k: v for k, v in n.items() if not k.startswith("_")}} for n in fresh]
+        ended: dict[str, str] = {}
+        for old, new, relation, reason in judged:
+            a, b = self.active[old], made[new]
+            if relation == "update":
+                ended[old] = min(ended.get(old, new), new)
+            elif relation == "conflict":
+                said = {f"{k}_{side}": v for side, n in (("a", a), ("b", b)) for k, v in (("note", n["note_id"]), ("statement", n["statement"]), ("time", dated(n)))}
+                events.append({"conflict": said | {"reason": reason}})
+        ops = Counter({"same": "noop", "update": "update", "conflict": "conflict"}.get(j[2], "add") for j in judged)
+        events += [{"op": op, "count": n} for op, n in ops.items()]
+        for old, new in ended.items():
+            events.append({"ended": {"note_id": old, "superseded_by": new, "valid_until": made[new]["valid_from"]}})
+            self.drop(self.active.pop(old))
+        if self.conv_id is not None:
+            for n in fresh:
+                self.keep(n)
+        self.rounds += 1
+        return events
+
+    def keep(self, n: dict) -> None:
+        self.active[n["note_id"]] = {k: v for k, v in n.items() if k not in ("provenance", "evidence_ids")}
+        insort(self.told[n["_subject"]], (n["order"], n["note_id"]))
+        for at in n["_at"]:
+            insort(self.near[at], (n["_when"], n["note_id"]))
+
+    def drop(self, n: dict) -> None:
+        for held, key in [(self.told[n["_subject"]], (n["order"], n["note_id"])), *((self.near[at], (n["_when"], n["note_id"])) for at in n["_at"])]:
+            del held[bisect_left(held, key)]
+
+    def facts(self, subjects: list[str | None]) -> str:
+        """The latest active notes about a session's subjects, one line each."""
+        most = self.cfg.most_facts
+        of = {s.lower() for s in subjects if s is not None}
+        latest = sorted(x for s in of if s in self.told for x in self.told[s][-most:])[-most:] if most > 0 else []
+        return "\n".join("- [{subject}/{attribute}] {statement}".format_map(self.active[i]) for _, i in latest)
+
+    def extract(self, row: dict) -> list[dict]:
+        """Fresh notes of a session by one call; an unreadable reply gives none. Ids follow from conversation, session and position."""
+        facts = self.facts(row["subjects"] or [])
+        prompt = filled(EXTRACT, date=row["session"], known=f"\nALREADY KNOWN:\n{facts}\n" if facts else "", transcript=row["transcript"])
+        text = called(self.model, prompt, [], max_tokens=self.cfg.extract_tokens, temperature=0.0).text
+        items = items_in(balanced_object(text), "notes", ["subject", "attribute", "statement", "event_time"])[: self.cfg.most_notes]
+        fresh = []
+        for at, n in enumerate(n for n in items if tidy(n["subject"]) and tidy(n["statement"])):
+            event = tidy(n["event_time"]) if tidy(n["event_time"]).lower() not in ("", "null") else None
+            name = "|".join(x for x in (self.conv_id, row["session"], str(at)) if x is not None)
+            fresh.append({
+                "conv_id": self.conv_id, "note_id": sha256(name.encode()).hexdigest(), "subject": tidy(n["subject"]), "attribute": (tidy(n["attribute"]) or "fact").lower(),
+                "statement": tidy(n["statement"]), "event_time": event, "recorded_time": row["session"], "valid_from": row["session"] if event is None else event, "valid_until": None,
+                "status": "active", "superseded_by": None, "provenance": row["ids"], "evidence_ids": row["evidence"], "session": row["session"],
+                "order": self.rounds * self.cfg.most_notes + at,
+            })
+        vectors = self.encoder.encode([f"{n['subject']} {n['attribute']}: {n['statement']}" for n in fresh]) if fresh else []
+        for n, v in zip(fresh, vectors):
+            v = np.asarray(v, np.float32)
+            usable = np.isfinite(v).all() and v.any()
+            n["embedding"] = v if usable else None
+            n["_subject"], n["_when"] = n["subject"].lower(), n["valid_from"] if tidy(n["valid_from"]) else n["recorded_time"] or ""
+            n["_key"] = f"{n['_subject']}::{n['attribute'].strip(' ')}"
+            at = {"s:" + n["_subject"]} | {"e:" + e for e in self.entities(n)}
+            n["_at"] = at if usable and len(v) == self.encoder.dim else set()
+        return fresh
+
+    def entities(self, n: dict) -> set[str]:
+        low = f"{n['subject']} {n['statement']}".lower() if self.names else ""
+        return self.names & {*re.findall(r"\w+", low), *re.findall(r"\w+(?:['’-]\w+)+", low)}
+
+    def candidates(self, fresh: list[dict], same_key: float = 0.6, alike: float = 0.8, most: int = 4, block: int = 1024) -> list[tuple[str, str, str]]:
+        """(old, new, relation without a model): for each fresh note the newest active ones near it."""
+        pairs = []
+        for n in fresh:
+            lists = [self.near[at] for at in n["_at"] if at in self.near]
+            known = lists[0] if len(lists) == 1 else sorted({x for one in lists for x in one})
+            v = n["embedding"].astype(np.float64) if known else None
+            found = 0
+            for hi in range(len(known), 0, -block):
+                some = [self.active[i] for _, i in reversed(known[max(0, hi - block) : hi])]
+                x = np.stack([o["embedding"] for o in some]).astype(np.float64)
+                length = np.sqrt((v * v).sum()) * np.sqrt((x * x).sum(1))
+                sim = np.floor(np.divide(x @ v, length, out=np.zeros(len(x)), where=length > 0) * 1e9 + 0.5) / 1e9
+                for j in np.flatnonzero(sim >= min(same_key, alike)):
+                    same = some[j]["_key"] == n["_key"] and sim[j] >= same_key
+                    if found < most and (same or sim[j] >= alike):
+                        found += 1
+                        update = same and n["attribute"].strip(" ") in O.STATEFUL
+                        pairs.append((some[j]["note_id"], n["note_id"], "update" if update else "independent"))
+                if found >= most:
+                    break
+        return pairs
+
+    def adjudicate(self, pairs: list[tuple[str, str, str]], fresh: dict[str, dict]) -> list[tuple[str, str, str, str]]:
+        """As ``adjudicate`` of frames, for the pairs of one session: (old, new, relation, reason)."""
+        if not self.cfg.use_model or self.model is None:
+            return [(*p, "no model") for p in pairs]
+        pairs, judged = sorted(pairs, key=lambda p: (p[1], p[0])), []
+        for lo in range(0, len(pairs), self.cfg.most_pairs):
+            part = pairs[lo : lo + self.cfg.most_pairs]
+            line = lambda i, a, b: f"{i}. EARLIER ({dated(a)}): {a['statement']}\n   LATER ({dated(b)}): {b['statement']}"
+            prompt = filled(ADJUDICATE, pairs="\n".join(line(i, self.active[old], fresh[new]) for i, (old, new, _) in enumerate(part, 1)))
+            text = called(self.model, prompt, [], max_tokens=self.cfg.adjudicate_tokens, temperature=0.0).text
+            said: dict[int, list] = defaultdict(list)
+            for r in items_in(balanced_object(text), "relations", ["pair", "relation", "reason"]):
+                if re.fullmatch(r"\s*[+-]?[0-9]+\s*", r["pair"] or ""):
+                    said[int(r["pair"])].append((r["relation"], r["reason"] or ""))
+            for i, (old, new, fallback) in enumerate(part, 1):
+                relation = max((r.strip(" ").lower() for r, _ in said[i] if r is not None), default=None)
+                reason = "missing" if relation is None else max(w for _, w in said[i])
+                judged.append((old, new, relation if relation in RELATIONS else fallback, reason))
+        return judged
+
+
+def dated(n: dict) -> str | None:
+    return n["recorded_time"] if n["event_time"] is None else n["event_time"]
 
 
 def adjudicate(pairs: DataFrame, notes: DataFrame, model, cfg: ConsolidationConfig) -> DataFrame:
@@ -112,43 +247,39 @@ def adjudicate(pairs: DataFrame, notes: DataFrame, model, cfg: ConsolidationConf
     return judged.select("old_id", "new_id", F.when(known, F.col("said")).otherwise(F.col("fallback")).alias("relation"), reason.alias("reason"))
 
 
-def reconcile(store: DataFrame, fresh: DataFrame, model, cfg: ConsolidationConfig, names: DataFrame | None = None, dim: int = 96) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fresh notes held against active ones: (old_id, new_id) relations applied to ``store``; returns store, conflicts, operations."""
-    entities = None
-    if cfg.group_scoped and names is not None:
-        entities = O.note_entities(store.where(O.is_active()).select("conv_id", "note_id", "subject", "statement").unionByName(fresh.select("conv_id", "note_id", "subject", "statement")), names)
-    near = O.reconcile_candidates(fresh, store.where(O.is_active()), entities, dim, earlier=False)
-    session = fresh.select("note_id", F.concat_ws("|", "conv_id", "session").alias("group"))
-    pairs = stash(near.join(session, "note_id").select("group", F.col("other_id").alias("old_id"), F.col("note_id").alias("new_id"), F.col("relation").alias("fallback")), "candidates")
-    every = stash(store.unionByName(fresh), "notes")
-    return O.apply_relations(every, stash(adjudicate(pairs, every, model, cfg), "relations"))
-
-
 def consolidate(episodes: DataFrame, model, cfg: ConsolidationConfig = ConsolidationConfig(), encoder: Encoder | None = None, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All sessions into notes: (notes, conflicts, operations).
 
     ``names``: conv_id, name of the entities that scope candidates, if any.
     """
-    spark, encoder = episodes.sparkSession, encoder or HashEncoder()
-    sessions = stash(sessions_of(episodes), "sessions")
-    rounds = sessions.agg(F.max("round")).first()[0]
-    store = spark.createDataFrame([], NOTE)
-    conflicts, counts = None, None
-    for r in range((rounds if rounds is not None else -1) + 1):
-        now = sessions.where(F.col("round") == r)
-        asked = now.select("conv_id", "session", F.explode("subjects").alias("subject"))
-        known = O.known_facts(store, asked, cfg.most_facts)
-        fresh = extract(now, known, model, cfg, r)
-        text = F.concat("subject", F.lit(" "), "attribute", F.lit(": "), "statement")
-        fresh = stash(encode_column(fresh.withColumn("_text", text), "_text", encoder).select(*[c.split()[0] for c in NOTE.split(", ")]), "fresh")
-        store, found, ops = reconcile(store, fresh, model, cfg, names, encoder.dim)
-        store, found, ops = stash(store, "store"), stash(found, "conflicts"), stash(ops, "operations")
-        conflicts = found if conflicts is None else conflicts.unionByName(found)
-        counts = ops if counts is None else counts.unionByName(ops)
-    if conflicts is None:
-        empty = spark.createDataFrame([], "old_id string, new_id string, relation string, reason string")
-        _, conflicts, counts = O.apply_relations(store, empty)
-    return store, conflicts, counts.groupBy("op").agg(F.sum("count").alias("count"))
+    encoder = encoder or HashEncoder()
+    rows = sessions_of(episodes).withColumn("names", F.lit(None).cast("array<string>"))
+    if cfg.group_scoped and names is not None:  # they come before the sessions of their conversation
+        named = names.where(F.length("name") >= 3).groupBy("conv_id").agg(F.collect_set(F.lower("name")).alias("names"))
+        rows = rows.unionByName(named, allowMissingColumns=True)
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("session"))
+    schema = to_arrow_schema(StructType.fromDDL(EVENT))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ledger = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                events = []
+                for row in batch.slice(at, 256).to_pylist():
+                    if ledger is None or ledger.conv_id != row["conv_id"]:
+                        ledger = Ledger(row["conv_id"], set(row["names"] or ()), model, cfg, encoder)
+                    if row["session"] is not None:
+                        events += ledger.session(row)
+                yield pa.RecordBatch.from_pylist(events, schema)
+
+    events = stash(rows.mapInArrow(run, EVENT), "events")
+    held = lambda kind: events.where(F.col(kind).isNotNull()).select(f"{kind}.*")
+    ended = held("ended").select("note_id", F.struct("superseded_by", "valid_until").alias("u"))
+    store = held("note").join(ended, "note_id", "left")
+    over = F.col("u").isNotNull()
+    changed = {"status": F.when(over, "superseded").otherwise(F.col("status")), "superseded_by": F.col("u.superseded_by"), "valid_until": F.col("u.valid_until")}
+    store = store.withColumns(changed).select(*[c.split()[0] for c in NOTE.split(", ")])
+    return store, held("conflict"), events.where("op is not null").groupBy("op").agg(F.sum("count").alias("count"))
 
 
 def reconcile_queue(queue: DataFrame, notes: DataFrame, model, cfg: ConsolidationConfig = ConsolidationConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:

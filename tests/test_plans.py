@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallspark.engine import MemoryEngine
+from recallspark.functions.jsonx import items_in, items_of
 from recallspark.models import Scripted
 from recallspark.operators import context as C
 from recallspark.operators import notes as O
@@ -165,6 +166,38 @@ def test_consolidation_supersedes_and_records_conflicts(spark):
     assert empty.count() == none.count() == ops.count() == 0
 
 
+def test_consolidation_runs_as_many_jobs_for_any_number_of_sessions(spark):
+    schema = "conv_id string, episode_id string, seq bigint, text string, stamp string, speakers array<string>, evidence_ids array<string>"
+
+    def reply(p):
+        return json.dumps({"notes": [{"subject": "Ann", "attribute": "Job", "statement": p.partition("SESSION:\n")[2].partition("\n")[0]}]})
+
+    jobs, context = {}, spark.sparkContext
+    for n in (2, 30):
+        rows = [(c, f"{c}{i}", i, f"Ann works as a baker in town {i}", f"2023-{i:02d}", ["Ann"], []) for c in ("c", "d") for i in range(n)]
+        group = f"consolidate-{n}"
+        e = spark.createDataFrame([*rows, (None, "x", 0, "Ann works as a baker", "2023-01", ["Ann"], [])], schema)
+        context.setJobGroup(group, "consolidation")
+        made, _, ops = K.consolidate(e, Scripted(reply), K.ConsolidationConfig(use_model=False))
+        got = sorted((r.conv_id or "", r.order, r.status, r.valid_until) for r in made.collect())
+        context.setLocalProperty("spark.jobGroup.id", None)
+        jobs[n] = len(context.statusTracker().getJobIdsForGroup(group))
+        last = [("active", None) if i == n - 1 else ("superseded", f"2023-{i + 1:02d}") for i in range(n)]
+        assert got == [("", 0, "active", None)] + [(c, 8 * i, *last[i]) for c in ("c", "d") for i in range(n)]
+        assert {r.op: r["count"] for r in ops.collect()} == {"update": 2 * n - 2}
+    assert 0 < jobs[30] <= jobs[2] + 3
+
+
+def test_items_outside_spark_are_those_of_spark(spark):
+    found = [
+        '{"notes": [{"a": "x", "b": 1.50}, {"a": {"k": [1, 2]}, "b": true}, "{\\"a\\": \\"in text\\"}", " {\\"b\\": null}", "x", 3, null, [1], {}]}',
+        '{"notes": {"a": "x"}}', '{"notes": "x"}', '{"notes": null}', '{"notes": []}', "{}", '{"more": [1], "notes" : [ {"a" : "é\\n", "c": [] } ] }', None,
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(found)], "i int, t string")
+    got = {r.i: [x.asDict() for x in r.n] for r in df.select("i", items_of(F.col("t"), "notes", "a string, b string").alias("n")).collect()}
+    assert got == {i: items_in(t, "notes", ["a", "b"]) for i, t in enumerate(found)}
+
+
 def test_adjudication_batches_and_falls_back(spark):
     notes = spark.createDataFrame([(f"n{i}", f"s{i}", None, "2020") for i in range(6)], "note_id string, statement string, event_time string, recorded_time string")
     pairs = spark.createDataFrame([("g", f"n{i}", f"n{i + 1}", "independent") for i in range(5)], "group string, old_id string, new_id string, fallback string")
